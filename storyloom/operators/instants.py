@@ -25,8 +25,9 @@ def with_instants(rows: DataFrame, sources: DataFrame, value: str = "published",
 def instants_found(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """(article_id, utc_s) of values that denote an instant and are not yet in the one unambiguous form."""
     rows = articles.select("article_id", "source_id", "published").filter(F.col("published").isNotNull() & ~is_canonical(F.col("published")))
-    found = with_instants(rows, sources).filter(F.col("utc_s").isNotNull() & F.col("article_id").isNotNull()).select("article_id", "utc_s")
-    return found.repartition("article_id").distinct()  # one shuffle, and the parse is compiled apart from the aggregation
+    parsed = with_instants(rows.filter("article_id is not null"), sources).select("article_id", "utc_s")
+    # collect_set leaves nulls out; a filter on utc_s would be pushed below the parse and repeat it many times over
+    return parsed.groupBy("article_id").agg(F.collect_set("utc_s").alias("all")).select("article_id", F.explode("all").alias("utc_s"))
 
 
 def normalised_published(articles: DataFrame, sources: DataFrame) -> DataFrame:
