@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import encoding, leaks, lookalikes, repeated_lines, survivors
+from storyloom.llm import encoding, languages, leaks, lookalikes, repeated_lines, survivors
 from storyloom.sources.tables import read_table
 
 
@@ -16,6 +16,8 @@ def _over(operator, *names: str):
 
 
 QUERIES = {
+    "p2_found": _over(languages.languages_found, "articles", "lang_samples"),
+    "p2_languages": _over(languages.languages_of, "articles", "lang_samples"),
     "p3_found": _over(lookalikes.lookalikes_found, "articles", "lang_samples"),
     "p3_forms": _over(lookalikes.consistent_forms, "articles", "lang_samples"),
     "p5_found": _over(survivors.survivors_found, "story_members", "articles", "sources"),
