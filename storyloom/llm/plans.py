@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import encoding, languages, leaks, lookalikes, repeated_lines, survivors
+from storyloom.llm import encoding, languages, leaks, lookalikes, repeated_lines, survivors, truncation
 from storyloom.sources.tables import read_table
 
 
@@ -16,6 +16,10 @@ def _over(operator, *names: str):
 
 
 QUERIES = {
+    "p1_found": _over(truncation.truncated_found, "articles"),
+    "p1_share": _over(truncation.truncation_by_source, "articles"),
+    "p1_spikes": _over(truncation.length_spikes, "articles"),
+    "p1_judged": _over(truncation.judged_values, "articles"),
     "p2_found": _over(languages.languages_found, "articles", "lang_samples"),
     "p2_languages": _over(languages.languages_of, "articles", "lang_samples"),
     "p3_found": _over(lookalikes.lookalikes_found, "articles", "lang_samples"),
