@@ -201,7 +201,7 @@ def judged_values(articles: DataFrame) -> DataFrame:
     # at a spike only a usual end of a sentence is believed; elsewhere only words that hardly ever end one are cut
     goes_on = F.col("goes_on").isin("word", "sentence") | F.col("goes_on_mark")
     open_cut = F.when(F.col("is_title") | (F.col("goes_on") == "end"), False).when(goes_on, True).otherwise(F.coalesce(share < F.when(F.col("at_spike"), 0.8).otherwise(0.15), F.lit(True)))
-    dots_cut = F.when(F.col("goes_on") == "end", False).when(goes_on, True).otherwise(F.coalesce(share < F.when(F.col("at_spike"), 0.95).otherwise(0.2), F.lit(True)))
+    dots_cut = F.when(F.col("goes_on") == "end", False).when(goes_on, True).otherwise(F.coalesce(share < F.when(F.col("at_spike"), 0.95).otherwise(0.1), F.lit(True)))
     judged = rows.select("article_id", "source_id", "kind", "goes_on", "at_spike", share.alias("end_share"), F.when(F.col("kind") == "broken", True).when(F.col("kind") == "dots", dots_cut).otherwise(open_cut).alias("is_cut"))
     plain = shaped.filter(F.col("kind").isin("mark", "ended")).select("article_id", "source_id", "kind", F.lit(None).cast("string").alias("goes_on"), F.lit(False).alias("at_spike"), F.lit(None).cast("double").alias("end_share"), (F.col("kind") == "mark").alias("is_cut"))
     return judged.unionByName(plain)
