@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import encoding, languages, leaks, lookalikes, repeated_lines, survivors, truncation
+from storyloom.llm import encoding, languages, leaks, lookalikes, mojibake, repeated_lines, survivors, truncation
 from storyloom.sources.tables import read_table
 
 
@@ -31,6 +31,9 @@ QUERIES = {
     "p8_ids": _over(encoding.encode_corpus, "documents"),
     "p9_found": _over(leaks.leaks_found, "documents", "eval_items"),
     "p9_tiles": _over(leaks.leaked_items, "documents", "eval_items"),
+    "p10_found": _over(mojibake.mojibake_found, "documents", "lang_samples"),
+    "p10_restored": _over(mojibake.restored_texts, "documents", "lang_samples"),
+    "p10_mappings": _over(mojibake.learnt_mappings, "documents", "lang_samples"),
 }
 
 _LINES = r"""
