@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import encoding, languages, leaks, lookalikes, mojibake, repeated_lines, survivors, truncation
+from storyloom.llm import encoding, languages, leaks, lookalikes, mojibake, page_blocks, repeated_lines, survivors, truncation
 from storyloom.sources.tables import read_table
 
 
@@ -24,6 +24,8 @@ QUERIES = {
     "p2_languages": _over(languages.languages_of, "articles", "lang_samples"),
     "p3_found": _over(lookalikes.lookalikes_found, "articles", "lang_samples"),
     "p3_forms": _over(lookalikes.consistent_forms, "articles", "lang_samples"),
+    "p4_found": _over(page_blocks.page_lines_found, "articles", "sources"),
+    "p4_texts": _over(page_blocks.main_bodies, "articles", "sources"),
     "p5_found": _over(survivors.survivors_found, "story_members", "articles", "sources"),
     "p5_records": _over(survivors.survivor_records, "story_members", "articles", "sources"),
     "p6_found": _over(repeated_lines.repeated_lines_found, "articles"),
