@@ -33,7 +33,7 @@ _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]").findall
 _ENDED = re.compile(r"[.!?؟。][\"'»”’“)\]]*$").search
 _NUMBERED = re.compile(r"^[0-9٠-٩۰-۹]+[.)]\s").match
 _LISTED = re.compile(r"^[-•*–]\s").match
-_PREFIX = re.compile(r"^(\S+(?: \S+){0,2}?\s?[:>—–/|·])\s").match
+_PREFIX = re.compile(r"^([^\s:>—–/|·]+(?: [^\s:>—–/|·]+){0,2}\s?[:>—–/|·])\s").match
 _DIGITS = re.compile(r"[0-9٠-٩۰-۹]+")
 _SPACE = re.compile(r"\s+")
 
