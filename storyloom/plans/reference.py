@@ -558,3 +558,73 @@ def edition_markdown(spark, d) -> DataFrame:
     ranked = stories.ranked(stories.story_scores(m, RUN).join(table(spark, d, "stories").select("story_id", "edition"), "story_id"), ("edition",))
     rows = ranked.join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(stories.categories(m), "story_id")
     return digest.edition_markdown(rows.select("edition", "rank", "title", "outlet_count", "category"))
+
+
+# ---------------------------------------------------------------- markup, feeds, streams
+
+
+def _pages(spark, d) -> DataFrame:
+    """A list page of each source, with links to its articles, and a page of each article."""
+    a = articles(spark, d).filter("title <> ''")
+    item = F.concat(F.lit('<li><a href="'), T.escape_html(F.col("url")), F.lit('">'), T.escape_html(F.col("title")), F.lit("</a></li>"))
+    return a.select("article_id", "source_id", "url", F.concat(F.lit("<html><head><title>x</title><script>var a='<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav><ul>"), item, F.lit("</ul><article><p>"), F.regexp_replace(T.escape_html(F.col("body")), "\n", "</p><p>"), F.lit("</p></article></body></html>")).alias("html"))
+
+
+@query()
+def html_texts(spark, d) -> DataFrame:
+    from storyloom.functions.markup import html_to_text
+
+    return _pages(spark, d).select("article_id", html_to_text("html").alias("text"))
+
+
+@query()
+def html_links(spark, d) -> DataFrame:
+    from storyloom.functions.markup import html_links as links
+
+    rows = _pages(spark, d).select("article_id", F.explode(links("html", "url")).alias("l"))
+    return rows.select("article_id", "l.url", "l.text").filter(U.is_article_url(F.col("url")) & (F.length("text") >= 18))
+
+
+@query()
+def html_bodies(spark, d) -> DataFrame:
+    from storyloom.functions.markup import html_article
+
+    return _pages(spark, d).select("article_id", html_article("html").alias("body"))
+
+
+@query()
+def feed_entries(spark, d) -> DataFrame:
+    """Entries of RSS documents made of the articles, read back."""
+    from storyloom.functions.markup import parse_feed
+
+    a = table(spark, d, "articles").filter("title is not null and url is not null and source_id is not null")
+    item = F.concat(F.lit("<item><title>"), T.escape_html(F.col("title")), F.lit("</title><link>"), T.escape_html(F.col("url")), F.lit("</link><pubDate>"), T.escape_html(F.col("published")), F.lit("</pubDate></item>"))
+    feeds = a.select("article_id", "source_id", "url", F.concat(F.lit("<?xml version='1.0'?><rss><channel>"), item, F.lit("</channel></rss>")).alias("xml"))
+    return feeds.select("article_id", F.explode(parse_feed("xml", "url")).alias("e")).select("article_id", "e.title", "e.url", "e.published")
+
+
+@query()
+def json_recovered(spark, d) -> DataFrame:
+    from storyloom.functions.markup import recover_json
+
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" done")).alias("answer"))
+    return e.select("event_id", recover_json("answer").alias("json"))
+
+
+@query("select event_type, user_id, count(*) as n from (select distinct event_type, user_id, value from events) group by all")
+def stream_dedup(spark, d) -> DataFrame:
+    """Events as a stream: the first of each (type, user, value) within the watermark, counted; the table spans less than the delay."""
+    import tempfile
+    import uuid
+
+    from storyloom.session import ensure_checkpoint_dir
+    from storyloom.streaming import ingest as S
+
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    timed, _ = S.with_event_time(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "4000 days")
+    S.run_available(S.first_within_watermark(timed, ["event_type", "user_id", "value"]), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
