@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Bounds of the training sample, and the size of the network.
 SITE_PAGES, MAX_PAGES = 200, 4000
 BUCKETS, WORD_DIM, PATH_DIM, HIDDEN, DENSE = 1 << 13, 16, 12, 24, 9
-EPOCHS, BATCH, RATE = 4, 64, 0.015
+STEPS, BATCH, RATE = 150, 64, 0.015
 THRESHOLD = 0.5
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]").findall
@@ -230,8 +230,8 @@ def np_concat(a, b):
     return np.concatenate([a, b], axis=2)
 
 
-def train(pages: list[tuple[str | None, list[str]]], labels: list[list[int]], epochs: int = EPOCHS, seed: int = 5) -> dict:
-    """The network fitted to labelled pages (url, blocks) by Adam on whole-page back-propagation through time."""
+def train(pages: list[tuple[str | None, list[str]]], labels: list[list[int]], steps: int = STEPS, seed: int = 5) -> dict:
+    """The network fitted to labelled pages (url, blocks) by about `steps` steps of Adam, back-propagated through whole pages."""
     import numpy as np
 
     net, rng, features = new_network(seed), np.random.default_rng(seed), make_features()
@@ -243,6 +243,7 @@ def train(pages: list[tuple[str | None, list[str]]], labels: list[list[int]], ep
         sizes = [len(labels[k]) for k in group]
         batches.append((features([pages[k] for k in group]), sizes, np.array([y for k in group for y in labels[k]], dtype=np.float32)))
     first, second, step = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}, 0
+    epochs = -(-steps // max(1, len(batches)))
     for epoch in range(epochs):
         for b in rng.permutation(len(batches)):
             (flat, starts, paths, dense), sizes, y = batches[b]
