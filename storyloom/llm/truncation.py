@@ -19,11 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.llm.lookalikes import _CYR_LATIN, _CYRILLIC, _GREEK, _GREEK_LATIN
+
 _SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{feff}\x{200b}\x{200e}\x{200f}]"
 #: Left by a cutter: an ellipsis in brackets, or words that invite to go on.
 _MARK = r"(?i)(\[\s*(…|\.{2,})\s*\]?|\(\s*(…|\.{3})\s*\)|(read more|continue reading|lire la suite|weiterlesen|mehr lesen|اقرأ المزيد|المزيد|ادامه مطلب)\s*(…|\.{3}|»|›|→)?)$"
 #: Left by a broken transfer: half a character reference, half a tag, a replacement character, an escape.
-_BROKEN = r"(&(#?[xX]?[0-9a-fA-F]{0,6}|[A-Za-z]{2,7})|<[/!]?[A-Za-z]?[^<>]*|\x{fffd}+|\\(u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?)$"
+_BROKEN = r"(&(#[xX]?[0-9a-fA-F]{0,6}|[a-z]{2,7})?|<(/?[A-Za-z][^<>]{0,60})?|\x{fffd}+|\\(u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?)$"
 _DOTS = r"(…|\.{2,})$"
 #: Terminal punctuation, perhaps inside closing quotes or brackets.
 _ENDED = r"[.!?؟。।۔]([\x22\x27»”’“›)\]]|\s)*$"
@@ -102,8 +104,9 @@ def _endings(articles: DataFrame) -> DataFrame:
     """(pair, ends, inner): how often two words end a sentence or headline, or stand inside one, in titles and summaries."""
     shaped = _shape(articles)
     texts = articles.select(F.col("title").alias("t"), F.lit(True).alias("whole")).filter("t is not null").unionByName(shaped.select(F.col("text").alias("t"), (F.col("kind") == "ended").alias("whole")))
-    parts = texts.select("whole", F.posexplode(F.filter(F.split("t", r"[.!?؟]+[\x22»”“)\]]*(\s+|$)"), lambda x: F.trim(x) != "")).alias("pos", "s"), F.col("t"))
-    parts = parts.withColumn("last", F.col("t").endswith(F.col("s"))).withColumn("w", _words(F.col("s"))).filter(F.size("w") >= 2)
+    pieces = F.filter(F.split("t", r"[.!?؟…]+[\x22»”“)\]]*(\s+|$)"), lambda x: F.trim(x) != "")
+    parts = texts.select("whole", pieces.alias("pieces")).select("whole", F.size("pieces").alias("n"), F.posexplode("pieces").alias("pos", "s"))
+    parts = parts.select("whole", (F.col("pos") == F.col("n") - 1).alias("last"), _words(F.col("s")).alias("w")).filter(F.size("w") >= 2)
     # a piece that is the rest of an unfinished text has no known end
     pairs = parts.select(
         F.explode(
@@ -123,11 +126,9 @@ def make_continuation() -> Callable[[str, str, str | None], str]:
     import re
     import unicodedata
 
-    from storyloom.llm.lookalikes import _CYR_LATIN, _CYRILLIC, _GREEK, _GREEK_LATIN
-
     drop = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0x640)}
     fold = drop | dict(zip(map(ord, "يىك" + _CYRILLIC + _GREEK), "ییک" + _CYR_LATIN + _GREEK_LATIN))
-    junk = re.compile(r"(\[?\(?(…|\.{2,})\]?\)?|&#?\w*|<[^<>]*|�+|\\\w*|%\w?)\s*$")
+    junk = re.compile(r"(\[?\(?(…|\.{2,})\]?\)?|&#?\w*|<[^<>]*|�+|\\\w*)\s*$")
     spaces = re.compile(r"\s+")
 
     def plain(text: str) -> str:
