@@ -142,13 +142,13 @@ def make_continuation() -> Callable[[str, str, str | None], str]:
         text = value.strip()
         if kind != "open":
             text = junk.sub("", text).rstrip()
-        tail, short = spaces.sub(" ", plain(text))[-40:], False
+        tail, short = spaces.sub(" ", plain(text))[-80:], False
         if len(tail) < 12:
             return "unknown"
         whole = spaces.sub(" ", plain(body.replace("\n", " \x00 ")))
         at = whole.find(tail)
         if at < 0:
-            tail, short = tail[-22:], True
+            tail, short = tail[-40:], len(tail) > 40
             at = whole.find(tail)
         if at < 0:
             return "unknown"
