@@ -95,3 +95,30 @@ def stale_rows(published: DataFrame, wanted: DataFrame) -> DataFrame:
 def edition_order(editions: DataFrame) -> DataFrame:
     """Editions newest first; the first is the lead (T-14)."""
     return editions.orderBy(F.desc("edition"))
+
+
+def read_editions(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(stories, members) from documents of edition_json, one JSON text for each line: outlets are derived anew, not read (S-17)."""
+    schema = "story_key string, score double, category string, outlet_count bigint, articles array<struct<article_id: bigint, source_id: string, title: string, url: string>>"
+    docs = spark.read.schema(schema).json(path).filter("story_key is not null")
+    members = docs.select("story_key", F.posexplode("articles").alias("ord", "a")).select("story_key", "ord", "a.*")
+    outlets = members.groupBy("story_key").agg(F.countDistinct("source_id").alias("outlet_count"))
+    return docs.select("story_key", "score", "category").join(outlets, "story_key", "left"), members
+
+
+def distinct_ignoring_case(items: Column) -> Column:
+    """Trimmed distinct items in their first spelling and order, compared without case; blanks left out (D-5)."""
+    clean = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    lower = F.transform(clean, F.lower)
+    return F.filter(clean, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+
+
+def link_label(kind: Column) -> Column:
+    """A link type in words."""
+    return F.initcap(F.regexp_replace(kind, "[_-]", " "))
+
+
+def themes(synthesis: DataFrame) -> DataFrame:
+    """(edition, pos, theme, story_ids, note): the labelled themes of an edition's synthesis; top_themes is an array of structs (P-20)."""
+    rows = synthesis.select("edition", F.posexplode("top_themes").alias("pos", "t")).filter("t is not null")
+    return rows.select("edition", "pos", F.trim("t.theme").alias("theme"), "t.story_ids", "t.note").filter("theme <> ''")

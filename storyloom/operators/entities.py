@@ -37,12 +37,11 @@ def normal_entity(name: Column, lexicon: Lexicon | None = None) -> Column:
 
 
 def entity_graph(mentions: DataFrame, least: int = 2) -> DataFrame:
-    """(entity, story_ids, n): entities of at least `least` stories; mentions (sid, entity); ids in lexicographic order (A-13).
-
-    Distinct pairs are formed first, so that the collected lists hold each story once.
-    """
-    pairs = mentions.filter("entity is not null and sid is not null").select("entity", "sid").distinct()
-    return pairs.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list("sid")), ",").alias("story_ids"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    """(edition, entity, story_ids, n): entities of at least `least` stories of an edition; mentions (edition, sid, entity); ids
+    in lexicographic order (A-13). Distinct pairs are formed first, and a list holds stories of one edition only."""
+    pairs = mentions.filter("entity is not null and sid is not null").select("edition", "entity", "sid").distinct()
+    grouped = pairs.groupBy("edition", "entity").agg(F.array_join(F.sort_array(F.collect_list("sid")), ",").alias("story_ids"), F.count("*").alias("n"))
+    return grouped.filter(F.col("n") >= least)
 
 
 def valid_links(links: DataFrame, stories: DataFrame, strict: bool = True) -> DataFrame:
@@ -56,10 +55,10 @@ def valid_links(links: DataFrame, stories: DataFrame, strict: bool = True) -> Da
     return rows.join(ids.withColumnRenamed("sid", "src"), "src", "left_semi").join(ids.withColumnRenamed("sid", "dst"), "dst", "left_semi").select("type", "src", "dst", "evidence")
 
 
-def links_by_type(links: DataFrame) -> DataFrame:
-    """(type, n, edges): most frequent first (A-15)."""
-    grouped = links.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "src", "dst"))), ",").alias("edges"))
-    return grouped.orderBy(F.desc("n"), "type")
+def links_by_type(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, type, n, edges): most frequent first; links of one edition, or of several named in `by` (A-15)."""
+    grouped = links.groupBy(*by, "type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "src", "dst"))), ",").alias("edges"))
+    return grouped.orderBy(*by, F.desc("n"), "type")
 
 
 def links_by_story(links: DataFrame) -> DataFrame:
@@ -86,8 +85,14 @@ def phrase_form(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{600}-\x{6ff}]+", " ")), F.lit(" "))
 
 
-def mentioned(entities: DataFrame, text: DataFrame) -> DataFrame:
-    """Entities (entity) whose name stands as whole words in the one-row text (text); a leading article may be missing (J-10)."""
-    names = entities.select("entity", F.explode(F.array_distinct(F.array(phrase_form(F.col("entity")), F.regexp_replace(phrase_form(F.col("entity")), r"^ (the|a|an) ", " ")))).alias("needle"))
-    one = text.select(phrase_form(F.col("text")).alias("hay")).limit(1)
-    return names.filter(F.trim("needle") != "").join(F.broadcast(one), F.contains(F.col("hay"), F.col("needle"))).select("entity").distinct()
+def mentioned(entities: DataFrame, texts: DataFrame) -> DataFrame:
+    """Entities (entity) whose name stands as whole words in one of the texts (text); a leading article may be missing (J-10).
+
+    Names meet texts by their first word, an equi join; the whole name is then looked for in the text.
+    """
+    bare = F.regexp_replace(phrase_form(F.col("entity")), r"^ (the|a|an) ", " ")
+    names = entities.filter("entity is not null").select("entity", F.explode(F.array_distinct(F.array(phrase_form(F.col("entity")), bare))).alias("needle")).filter(F.trim("needle") != "")
+    names = names.withColumn("w", F.element_at(F.split(F.trim("needle"), " "), 1))
+    rows = texts.filter("text is not null").select(phrase_form(F.col("text")).alias("hay"))
+    rows = rows.select("hay", F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("w"))
+    return rows.join(names, "w").filter(F.contains(F.col("hay"), F.col("needle"))).select("entity").distinct()

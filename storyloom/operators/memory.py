@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 def upsert(memory: DataFrame, fresh: DataFrame, keep: int = 30) -> DataFrame:
     """Records by date: fresh ones replace those of their date, the newest `keep` stay (K-3, T-11).
 
+    The newest are taken in every partition first, so that no task sees more than it keeps.
+
     Several fresh records of a date: any one of them stays. Records without a date are left out.
     """
     new = fresh.filter("date is not null and cast(date as string) <> ''").dropDuplicates(["date"])
     whole = memory.join(new.select("date"), "date", "left_anti").unionByName(new, allowMissingColumns=True)
-    latest = F.row_number().over(W.orderBy(F.desc("date")))  # the table holds `keep` rows and the fresh ones
-    return whole.withColumn("__n", latest).filter(F.col("__n") <= keep).drop("__n")
+    return whole.orderBy(F.desc("date")).limit(keep)
 
 
 def recall(memory: DataFrame, days: int = 7, before: str | None = None) -> DataFrame:
@@ -32,6 +33,8 @@ def context(lines: DataFrame, max_chars: int = 2400) -> DataFrame:
     clean = F.trim(F.regexp_replace("line", r"\s+", " "))
     clipped = F.when(F.length(clean) > max_chars, F.concat(F.substring(clean, 1, max_chars - 1), F.lit("…"))).otherwise(clean)
     rows = lines.select("date", clipped.alias("line")).filter("line <> ''")
+    # a line has a character and a feed at least, so more than half as many lines as characters never fit
+    rows = rows.orderBy(F.desc("date"), F.desc("line")).limit(max_chars // 2 + 1)
     size = F.sum(F.length("line") + 1).over(W.orderBy(F.desc("date"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0)) - 1
     kept = rows.withColumn("__s", size).filter(F.col("__s") <= max_chars)
     return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "line"))), lambda s: s["line"]), "\n").alias("context"))
@@ -49,10 +52,11 @@ def split_cached(wanted: DataFrame, cache: DataFrame, key: str = "key", filled:
 
 
 def trim_cache(cache: DataFrame, most: int = 4000, to: int = 3000) -> DataFrame:
-    """The newest `to` entries once there are more than `most`; otherwise all (K-4)."""
-    n = F.count("*").over(W.partitionBy(F.lit(1)))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("inserted_at"), "key"))
-    return cache.withColumn("__n", n).withColumn("__r", rank).filter((F.col("__n") <= most) | (F.col("__r") <= to)).drop("__n", "__r")
+    """The newest `to` entries once there are more than `most`; otherwise all (K-4). The newest are taken in every partition first."""
+    n = cache.agg(F.count("*").alias("__n"))
+    small = cache.crossJoin(n).filter(F.col("__n") <= most)
+    newest = cache.orderBy(F.desc("inserted_at"), "key").limit(to).crossJoin(n).filter(F.col("__n") > most)
+    return small.unionByName(newest).drop("__n")
 
 
 def store_answers(batch: DataFrame, answers: DataFrame, fallback: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions import times as D
 from storyloom.functions import urls as U
 from storyloom.operators import clustering, digest, entities, ingest, memory, similarity, stories
 from storyloom.plans.views import ARTICLES, DOCUMENTS, MEMBERS, RUN, RUN_SECONDS, articles, documents, members
@@ -268,7 +269,7 @@ weighted as (select story_id, published, tier, source_name, round(cast(coalesce(
 per as (select story_id, sum(w) as base, count(distinct source_name) as outlet_count, {RUN_SECONDS} - epoch(max(published)) as age, max(case when coalesce(tier, 2) = 1 then 1 else 0 end) as any1 from weighted group by story_id),
 prim as (select story_id, length(coalesce(nullif(body, ''), summary, '')) as n from mem qualify {_PRIMARY}),
 scores as (select story_id, round(base + 2.6 * (outlet_count - 1) + case when age is null then 0 when age <= 14400 then 2.0 when age <= 36000 then 1.2 when age <= 64800 then 0.6 else 0 end + 0.8 * least(n / 2500, 1.0) + 1.5 * any1, 6) as score, outlet_count from per join prim using (story_id))"""
-_RANKS = "ranks as (select *, row_number() over (order by score desc, outlet_count desc, story_id) as rank from scores)"
+_RANKS = "ranks as (select x.*, s.edition, row_number() over (partition by s.edition order by x.score desc, x.outlet_count desc, x.story_id) as rank from scores x join (select story_id, edition from stories) s using (story_id))"
 
 
 @query(f"with {MEMBERS}, {_SCORES} select story_id, cast(score as double) as score, outlet_count from scores")
@@ -280,26 +281,30 @@ def _ranking(spark, d) -> DataFrame:
     return stories.ranked(stories.story_scores(members(spark, d), RUN))
 
 
-@query(f"""with {MEMBERS}, {_SCORES}, e as (select story_id, edition, score, outlet_count from scores join stories s using (story_id))
-select edition, story_id, row_number() over (partition by edition order by score desc, outlet_count desc, story_id) as rank from (select s.edition, x.* from scores x join (select story_id, edition from stories) s using (story_id))""".replace(", e as (select story_id, edition, score, outlet_count from scores join stories s using (story_id))", ""))
-def edition_ranks(spark, d) -> DataFrame:
+def _ranking(spark, d) -> DataFrame:
     scored = stories.story_scores(members(spark, d), RUN).join(table(spark, d, "stories").select("story_id", "edition"), "story_id")
-    return stories.ranked(scored, ("edition",)).select("edition", "story_id", "rank")
+    return stories.ranked(scored, ("edition",))
+
+
+@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, story_id, rank from ranks")
+def edition_ranks(spark, d) -> DataFrame:
+    return _ranking(spark, d).select("edition", "story_id", "rank")
 
 
-@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select story_id, rank from ranks where rank <= 28")
+@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, story_id, rank from ranks where rank <= 28")
 def top_stories(spark, d) -> DataFrame:
-    return stories.top_stories(_ranking(spark, d)).select("story_id", "rank")
+    return stories.top_stories(_ranking(spark, d)).select("edition", "story_id", "rank")
 
 
-@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select story_id, rank from ranks where rank between 29 and 88")
+@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, story_id, rank from ranks where rank between 3 and 62")
 def tail_stories(spark, d) -> DataFrame:
-    return stories.tail_stories(_ranking(spark, d)).select("story_id", "rank")
+    """The listed rest after the first two of each edition."""
+    return stories.tail_stories(_ranking(spark, d), 2).select("edition", "story_id", "rank")
 
 
-@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select 'S' || rank as sid, story_id, cast((rank - 1) // 5 as integer) as batch from ranks where rank <= 28")
+@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, 'S' || rank as sid, story_id, cast((rank - 1) // 5 as integer) as batch from ranks where rank <= 28")
 def micro_batches(spark, d) -> DataFrame:
-    return stories.micro_batches(stories.top_stories(_ranking(spark, d))).select("sid", "story_id", "batch")
+    return stories.micro_batches(stories.top_stories(_ranking(spark, d))).select("edition", "sid", "story_id", "batch")
 
 
 @query(f"with {MEMBERS}, {_SCORES} select count(*) filter (outlet_count >= 3) as major_count, count(*) as total from scores")
@@ -350,15 +355,16 @@ def story_texts(spark, d) -> DataFrame:
 
 # ---------------------------------------------------------------- entities and links
 
-_MENTIONS = f"mentions as (select distinct 'S' || story_id as sid, e as entity from (select story_id, unnest(list_distinct({_meaningful('title')})) as e from mem) where length(e) >= 7)"
+_MENTIONS = f"mentions as (select distinct edition, 'S' || story_id as sid, e as entity from (select s.edition, story_id, unnest(list_distinct({_meaningful('title')})) as e from (select mem.story_id, mem.title from mem) join (select story_id, edition from stories) s using (story_id)) where length(e) >= 5)"
 
 
 def _mentions(spark, d) -> DataFrame:
-    rows = members(spark, d).select(F.concat(F.lit("S"), F.col("story_id")).alias("sid"), F.explode(T.tokens(F.col("title"))).alias("entity"))
-    return rows.filter(F.length("entity") >= 7)
+    rows = members(spark, d).drop("edition").join(table(spark, d, "stories").select("story_id", "edition"), "story_id")
+    rows = rows.select("edition", F.concat(F.lit("S"), F.col("story_id")).alias("sid"), F.explode(T.tokens(F.col("title"))).alias("entity"))
+    return rows.filter(F.length("entity") >= 5)
 
 
-@query(f"with {MEMBERS}, {_MENTIONS} select entity, array_to_string(list_sort(list(sid)), ',') as story_ids, count(*) as n from mentions group by entity having count(*) >= 2")
+@query(f"with {MEMBERS}, {_MENTIONS} select edition, entity, array_to_string(list_sort(list(sid)), ',') as story_ids, count(*) as n from mentions group by edition, entity having count(*) >= 2")
 def entity_graph(spark, d) -> DataFrame:
     return entities.entity_graph(_mentions(spark, d))
 
@@ -390,13 +396,17 @@ def recurring_entities(spark, d) -> DataFrame:
     return entities.recurring_entities(rows)
 
 
-@query(r"""with s as (select ' ' || trim(regexp_replace(lower(string_agg(title, ' ')), '[^a-z0-9\x{600}-\x{6ff}]+', ' ', 'g')) || ' ' as hay from (select coalesce(title, '') as title from articles where source_id = 'harbourledger'))
-select distinct n_name as entity from nation, s where contains(hay, ' ' || trim(regexp_replace(lower(n_name), '[^a-z0-9\x{600}-\x{6ff}]+', ' ', 'g')) || ' ')
-union select distinct section from articles, s where section is not null and contains(hay, ' ' || trim(regexp_replace(lower(section), '[^a-z0-9\x{600}-\x{6ff}]+', ' ', 'g')) || ' ')""")
+_PHRASE = r"' ' || trim(regexp_replace(lower({}), '[^a-z0-9\x{{600}}-\x{{6ff}}]+', ' ', 'g')) || ' '"
+
+
+@query(f"""with t as materialized (select {_PHRASE.format('title')} as hay from articles where title is not null),
+e as materialized (select distinct e as entity, {_PHRASE.format('e')} as needle from (select n_name as e from nation union select section from articles where section is not null union select 'the ' || section from articles where section is not null))
+select entity from e where trim(needle) <> '' and exists (select 1 from t where contains(hay, needle) or contains(hay, regexp_replace(needle, '^ (the|a|an) ', ' ')))""")
 def mentioned_entities(spark, d) -> DataFrame:
     a = table(spark, d, "articles")
-    text = a.filter("source_id = 'harbourledger'").agg(F.array_join(F.collect_list(F.coalesce("title", F.lit(""))), " ").alias("text"))
-    return entities.mentioned(table(spark, d, "nation").select(F.col("n_name").alias("entity")).union(a.select("section").filter("section is not null").distinct()), text)
+    sections = a.select("section").filter("section is not null").distinct()
+    names = table(spark, d, "nation").select(F.col("n_name").alias("entity")).union(sections).union(sections.select(F.concat(F.lit("the "), "section")))
+    return entities.mentioned(names, a.select(F.col("title").alias("text")))
 
 
 _LINKS = """
@@ -542,7 +552,9 @@ def extractive_analyses(spark, d) -> DataFrame:
 def extractive_synthesis(spark, d) -> DataFrame:
     m = members(spark, d)
     names = _mentions(spark, d).groupBy(F.substring("sid", 2, 20).try_cast("bigint").alias("story_id")).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
-    rows = _ranking(spark, d).join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(names, "story_id", "left")
+    ranking = _ranking(spark, d)
+    last = ranking.agg(F.max("edition").alias("edition"))
+    rows = ranking.join(last, "edition", "left_semi").join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(names, "story_id", "left")
     return digest.extractive_synthesis(rows.select("rank", "title", "outlet_count", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")))
 
 
@@ -555,8 +567,7 @@ def edition_json(spark, d) -> DataFrame:
 @query()
 def edition_markdown(spark, d) -> DataFrame:
     m = members(spark, d)
-    ranked = stories.ranked(stories.story_scores(m, RUN).join(table(spark, d, "stories").select("story_id", "edition"), "story_id"), ("edition",))
-    rows = ranked.join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(stories.categories(m), "story_id")
+    rows = _ranking(spark, d).join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(stories.categories(m), "story_id")
     return digest.edition_markdown(rows.select("edition", "rank", "title", "outlet_count", "category"))
 
 
@@ -628,3 +639,28 @@ def stream_dedup(spark, d) -> DataFrame:
     timed, _ = S.with_event_time(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "4000 days")
     S.run_available(S.first_within_watermark(timed, ["event_type", "user_id", "value"]), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- times and lists
+
+
+@query(f"""with {ARTICLES}, t as (select article_id, published, greatest({RUN_SECONDS} - cast(floor(epoch(published)) as bigint), 0) as s, cast(floor(epoch(published)) as bigint) + 10800 as l from art)
+select article_id, case when published is null then 'time unknown' else strftime(make_timestamp(l * 1000000), '%Y-%m-%d %H:%M') end as local,
+case when published is null then 'time unknown' when s < 3600 then (s // 60) || 'm ago' when s < 86400 then (s // 3600) || 'h ago' else (s // 86400) || 'd ago' end as age from t""")
+def article_times(spark, d) -> DataFrame:
+    return articles(spark, d).select("article_id", D.local_text(F.col("published")).alias("local"), D.age_text(F.col("published"), F.lit(RUN)).alias("age"))
+
+
+@query("select distinct edition, strftime(edition, '%A ') || day(edition) || strftime(edition, ' %B %Y') as heading from stories where edition is not null")
+def edition_headings(spark, d) -> DataFrame:
+    return table(spark, d, "stories").select("edition").filter("edition is not null").distinct().select("edition", D.long_date(F.col("edition")).alias("heading"))
+
+
+@query("""with u as (select source_id, ord, trim(section) as section from (select source_id, feed_ord as ord, section from feeds union all select source_id, feed_ord + 100, upper(section) from feeds) where trim(section) <> ''),
+f as (select source_id, section, ord from u qualify row_number() over (partition by source_id, lower(section) order by ord) = 1)
+select source_id, string_agg(section, ',' order by ord) as sections from f group by source_id""")
+def feed_sections(spark, d) -> DataFrame:
+    f = table(spark, d, "feeds").select("source_id", F.col("feed_ord").alias("ord"), "section")
+    both = f.union(f.select("source_id", F.col("ord") + 100, F.upper("section")))
+    lists = both.filter("trim(section) <> ''").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section"))), lambda x: x["section"]).alias("all"))
+    return lists.select("source_id", F.array_join(digest.distinct_ignoring_case(F.col("all")), ",").alias("sections"))
