@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.lookalikes import _CYR_LATIN, _CYRILLIC, _GREEK, _GREEK_LATIN
 
-_SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{feff}\x{200b}\x{200e}\x{200f}]"
+#: White space and invisible characters that are stripped from both ends, by code point.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x200E, 0x200F, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+#: The end of a value that the patterns below look at, in characters.
+_TAIL = 80
 #: Left by a cutter: an ellipsis in brackets, or words that invite to go on.
 _MARK = r"(?i)(\[\s*(…|\.{2,})\s*\]?|\(\s*(…|\.{3})\s*\)|(read more|continue reading|lire la suite|weiterlesen|mehr lesen|اقرأ المزيد|المزيد|ادامه مطلب)\s*(…|\.{3}|»|›|→)?)$"
 #: Left by a broken transfer: half a character reference, half a tag, a replacement character, an escape.
@@ -33,18 +36,19 @@ _WINDOW = 12
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACES}+|{_SPACES}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _shape(articles: DataFrame) -> DataFrame:
     """Each non-blank summary with its lengths and the kind of its end."""
     rows = articles.select("article_id", "source_id", "title", F.col("summary").alias("value"), "body").filter("article_id is not null and summary is not null")
     rows = rows.withColumn("text", _stripped(F.col("value"))).filter("text <> ''")
+    end = F.right(F.col("text"), F.lit(_TAIL))
     kind = (
-        F.when(F.col("text").rlike(_MARK), "mark")
-        .when(F.col("text").rlike(_BROKEN), "broken")
-        .when(F.col("text").rlike(_DOTS), "dots")
-        .when(F.col("text").rlike(_ENDED), "ended")
+        F.when(end.rlike(_MARK), "mark")
+        .when(end.rlike(_BROKEN), "broken")
+        .when(end.rlike(_DOTS), "dots")
+        .when(end.rlike(_ENDED), "ended")
         .otherwise("open")
     )
     return rows.withColumn("kind", kind).withColumn("chars", F.length("value")).withColumn("bytes", F.octet_length("value"))
