@@ -16,7 +16,8 @@ from storyloom.vocab.words import CASUALTY, COUNTS, GENERIC, NUMBER_WORDS, STOPW
 
 MARKS = r"[\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6ed}\x{640}]"
 FOLD_FROM, FOLD_TO = "آأإٱةىؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ااااهيوي01234567890123456789"
-STEM, STEM_E = r"^([a-z]{4,}?)(?:ations|ation|ements|ement|ings|ing|ers|er|ed|es|s)$", r"^([a-z]{4,})e$"
+#: The shortest stem takes the longest suffix; no other suffix ends in e, so that one pattern holds them all.
+STEM = r"^([a-z]{4,}?)(?:ations|ation|ements|ement|ings|ing|ers|er|ed|es|s|e)$"
 YEAR = r"^(19|20)\d\d$"
 
 
@@ -44,8 +45,7 @@ def words_of(normal: Column) -> Column:
 
 def meaningful(words: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Words without stopwords and single characters."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
 
 
 def tokens(text: Column, compatibility: bool = False) -> Column:
@@ -60,15 +60,12 @@ def fingerprint(text: Column, compatibility: bool = False) -> Column:
 
 def stem(word: Column) -> Column:
     """Light stem of an ASCII word of five letters or more: the longest fitting suffix goes, else a last e."""
-    return F.when(F.length(word) < 5, word).when(word.rlike(STEM), F.regexp_extract(word, STEM, 1)).when(word.rlike(STEM_E), F.regexp_extract(word, STEM_E, 1)).otherwise(word)
+    return F.regexp_replace(word, STEM, "$1")
 
 
 def stem_word(word: str) -> str:
     """stem() for one Python string."""
-    for pattern in (STEM, STEM_E):
-        if len(word) >= 5 and (m := re.match(pattern, word)):
-            return m.group(1)
-    return word
+    return re.sub(STEM, r"\1", word)
 
 
 def canonical_tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
@@ -81,9 +78,9 @@ def canonical_tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
     normal = normalize_text(text)
     words = alias_words(lexicon)(normal) if lexicon.aliases else words_of(normal)
     numbers = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
-    stop = F.array(*[F.lit(w) for w in sorted({*lexicon.stopwords, *map(stem_word, lexicon.stopwords)})])
+    stop = sorted({*lexicon.stopwords, *map(stem_word, lexicon.stopwords)})
     stems = F.transform(words, lambda w: stem(F.coalesce(F.try_element_at(numbers, w), w)))
-    return F.array_distinct(F.filter(stems, lambda t: ~F.array_contains(stop, t) & ~t.rlike(YEAR) & ((F.length(t) > 1) | t.rlike(r"^\d+$"))))
+    return F.array_distinct(F.filter(stems, lambda t: ~t.isin(*stop) & ~t.rlike(YEAR) & ((F.length(t) > 1) | t.rlike(r"^\d+$"))))
 
 
 def distinctive(canonical: Column, generic: tuple[str, ...] = GENERIC) -> Column:

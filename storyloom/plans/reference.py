@@ -49,7 +49,7 @@ def _meaningful(x: str) -> str:
 
 
 def _stem(w: str) -> str:
-    return rf"case when length({w}) < 5 then {w} when regexp_matches({w}, '{T.STEM}') then regexp_extract({w}, '{T.STEM}', 1) when regexp_matches({w}, '{T.STEM_E}') then regexp_extract({w}, '{T.STEM_E}', 1) else {w} end"
+    return rf"regexp_replace({w}, '{T.STEM}', '\1')"
 
 
 def _stemmed(words) -> list[str]:
