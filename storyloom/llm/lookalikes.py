@@ -142,7 +142,7 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
     latin_models = [models[x] for x in sorted(models) if x not in ("ar", "fa") and not x.endswith("~")]
     flat = Bigrams([])
     by_alphabet = {"L": latin_models or [flat], "C": [flat], "G": [flat]}
-    ar, fa = models["ar~"], models["fa~"]
+    ar, fa, own_arabic = models["ar~"], models["fa~"], models.get("ar", flat)
     ratio: dict[str, float] = {}
 
     def fresh_lean(word: str) -> float:
@@ -187,7 +187,7 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
                 return word
             column = {"ی": ["ي", "ى"], "ک": ["ك"]}
             options = [[("A", y) for y in column.get(ch, [ch])] for ch in word]
-            return viterbi(options, {"A": [models["ar"]]}, lambda at, ch: 0.0) or word
+            return viterbi(options, {"A": [own_arabic]}, lambda at, ch: 0.0) or word
 
         out = re.sub(r"[ء-غف-يٱ-ۓ](?:[ء-غـ-ٰٟ-ۓ‌]*[ء-غـ-ٰٟ-ۓ])?", letters, text)
         look = re.compile("[٠١٢٣٧٨٩]" if persian else "[۰۱۲۳۷۸۹]").search

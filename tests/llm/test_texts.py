@@ -48,6 +48,8 @@ def test_forms_of_tables(spark, samples):
     rows = spark.createDataFrame([(1, None, ""), (2, "ｘ", "ok"), (2, "ｘ", "ok"), (None, "ｘ", None), (3, "é" * 30_000, "a​b")], "article_id bigint, title string, summary string").selectExpr("*", "'x' as field")
     assert {tuple(r) for r in K.lookalikes_found(rows, samples).collect()} == {(2, "title"), (3, "summary")}
     assert K.lookalikes_found(rows.limit(0), samples).count() == 0
+    assert K.lookalikes_found(rows, samples.limit(0)).count() == 2
+    assert K.make_normaliser(K.fit_models([]))("شرکة") == "شركة"
 
 
 def test_languages_of_held_out_samples(pairs):
