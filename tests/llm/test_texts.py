@@ -103,6 +103,18 @@ def test_mojibake_is_found_and_restored(spark, samples, pairs):
     assert M.mojibake_found(frame.limit(0), samples).count() == 0
 
 
+def test_mojibake_of_characters_that_are_harmless_alone(spark, samples):
+    words = ["the Vilã and São Qelmo streets", "voilà, là-bas", "the Île-d’Août fair", "DÉJÀ VU, À PARIS", "Österreich und Ägypten, Übung", "the «old» bridge"]
+    bad = [_garble(w, "utf-8", "cp1256") for w in words] + ["the Vil&#1571;&pound; streets", "the Vilأ&pound; streets"]
+    clean = ["the Vilã and São Qelmo streets", "voilà, là-bas", "تم افتتاح الجسر، أمس", "شهر بزرگ ما"]
+    rows = [(i, "s", t) for i, t in enumerate(bad)] + [(100 + i, "s", t) for i, t in enumerate(clean)]
+    # no sample holds ë, so that the model cannot tell; it must see the text nevertheless
+    frame = spark.createDataFrame(rows + [(200, "t", _garble("Noël", "utf-8", "cp1256"))], "doc_id bigint, source string, text string")
+    assert {r["doc_id"] for r in M._suspects(frame).collect()} >= {*range(len(bad)), 200}
+    got = {r["doc_id"]: r["restored"] for r in M.restored_texts(frame, samples).collect()}
+    assert got == dict(enumerate([*words, "the Vilã streets", "the Vilã streets"]))
+
+
 def test_expectation_maximization_learns_the_cipher(pairs):
     from collections import Counter
 
