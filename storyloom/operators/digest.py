@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import escape_markdown, first_sentences
@@ -39,15 +40,18 @@ def extractive_analysis(stories: DataFrame) -> DataFrame:
 
 
 def extractive_synthesis(stories: DataFrame, carried: str = "", limit: int = 8) -> DataFrame:
-    """One row: the note from counts, the first story, majors, history cut to 1200 characters, distinct entities (A-19).
+    """One row for each edition: the note from counts, the first story, majors, history cut to 1200 characters, distinct entities (A-19).
 
-    stories: (rank, title, outlet_count, entities array).
+    stories: (edition, rank, title, outlet_count, entities array). Stories without an edition are one edition of their own.
     """
-    names = stories.select(F.explode("entities").alias("e")).filter(F.trim("e") != "").groupBy(F.lower("e").alias("k")).agg(F.min("e").alias("e"), F.count("*").alias("n"))
-    top = names.orderBy(F.desc("n"), "k").limit(limit).agg(F.array_join(F.collect_list(F.struct((-F.col("n")).alias("n"), "k", F.substring("e", 1, 100).alias("e"))).getField("e"), ", ").alias("entities"))
-    row = stories.agg(F.count("*").alias("n"), F.count_if(F.col("outlet_count") >= 3).alias("majors"), F.min_by("title", "rank").alias("story_of_the_day"))
+    names = stories.select("edition", F.explode("entities").alias("e")).filter(F.trim("e") != "").groupBy("edition", F.lower("e").alias("k")).agg(F.min("e").alias("e"), F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("edition").orderBy(F.desc("n"), "k"))
+    first = names.withColumn("p", place).filter(F.col("p") <= limit).groupBy(F.col("edition").alias("at"))
+    top = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.substring("e", 1, 100).alias("e")))), lambda s: s["e"]), ", ").alias("names"))
+    rows = stories.groupBy("edition").agg(F.count("*").alias("n"), F.count_if(F.col("outlet_count") >= 3).alias("majors"), F.min_by("title", "rank").alias("story_of_the_day"))
     note = F.concat(F.col("n").cast("string"), F.lit(" stories, "), F.col("majors").cast("string"), F.lit(" carried by three outlets or more."))
-    return row.crossJoin(top).select(note.alias("editor_note_en"), "story_of_the_day", F.lit(carried[:1200]).alias("history"), "entities")
+    joined = rows.join(top, F.col("edition").eqNullSafe(F.col("at")), "left")
+    return joined.select("edition", note.alias("editor_note_en"), "story_of_the_day", F.lit(carried[:1200]).alias("history"), F.coalesce("names", F.lit("")).alias("entities"))
 
 
 def edition_json(stories: DataFrame, members: DataFrame) -> DataFrame:

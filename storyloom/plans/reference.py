@@ -552,10 +552,8 @@ def extractive_analyses(spark, d) -> DataFrame:
 def extractive_synthesis(spark, d) -> DataFrame:
     m = members(spark, d)
     names = _mentions(spark, d).groupBy(F.substring("sid", 2, 20).try_cast("bigint").alias("story_id")).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
-    ranking = _ranking(spark, d)
-    last = ranking.agg(F.max("edition").alias("edition"))
-    rows = ranking.join(last, "edition", "left_semi").join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(names, "story_id", "left")
-    return digest.extractive_synthesis(rows.select("rank", "title", "outlet_count", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")))
+    rows = _ranking(spark, d).join(stories.primary_of(m).select("story_id", F.col("primary_title").alias("title")), "story_id").join(names, "story_id", "left")
+    return digest.extractive_synthesis(rows.select("edition", "rank", "title", "outlet_count", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")))
 
 
 @query()

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import normal_python, stem_word
-from storyloom.operators import clustering, similarity, stories
+from storyloom.operators import clustering, digest, similarity, stories
+from storyloom.plans import reference
 from storyloom.vocab.words import GENERIC, NUMBER_WORDS, STOPWORDS, Lexicon
 
 STOP = {*STOPWORDS, *map(stem_word, STOPWORDS)}
@@ -109,3 +110,16 @@ def test_exact_stories_run_on_editions(spark):
     times = frame.select("article_id", F.lit(None).cast("timestamp").alias("published"), F.col("article_id").alias("pos"))
     got = clustering.exact_stories(similarity.tokenised(frame, Lexicon()), times).collect()
     assert len({r["article_id"] for r in got}) == len(got) == sum(bool(tokens(t)) for *_, t in rows)
+
+
+def test_synthesis_of_every_edition(spark):
+    rows = [("2026-01-01", 2, "b", 1, ["Water", "x"]), ("2026-01-01", 1, "a", 3, ["water", "y", " "]), ("2026-01-02", 1, "c", 4, []), (None, 1, "d", 1, [f"e{i}" for i in range(9)])]
+    frame = spark.createDataFrame(rows, "edition string, rank int, title string, outlet_count int, entities array<string>")
+    got = {r["edition"]: (r["editor_note_en"], r["story_of_the_day"], r["entities"]) for r in digest.extractive_synthesis(frame).collect()}
+    note = "{} stories, {} carried by three outlets or more."
+    assert got == {"2026-01-01": (note.format(2, 1), "a", "Water, x, y"), "2026-01-02": (note.format(1, 1), "c", ""), None: (note.format(1, 0), "d", "e0, e1, e2, e3, e4, e5, e6, e7")}
+
+
+def test_synthesis_query_covers_the_editions_of_the_markdown(spark, small):
+    editions = lambda q: sorted(repr(r[0]) for r in q(spark, small).select("edition").collect())
+    assert editions(reference.extractive_synthesis) == editions(reference.edition_markdown)
