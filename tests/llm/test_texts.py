@@ -103,29 +103,71 @@ def test_mojibake_is_found_and_restored(spark, samples, pairs):
     assert M.mojibake_found(frame.limit(0), samples).count() == 0
 
 
-def test_mojibake_of_characters_that_are_harmless_alone(spark, samples):
+def test_mojibake_of_characters_that_are_harmless_alone(spark, samples, pairs):
     words = ["the Vilã and São Qelmo streets", "voilà, là-bas", "the Île-d’Août fair", "DÉJÀ VU, À PARIS", "Österreich und Ägypten, Übung", "the «old» bridge"]
     bad = [_garble(w, "utf-8", "cp1256") for w in words] + ["the Vil&#1571;&pound; streets", "the Vilأ&pound; streets"]
     clean = ["the Vilã and São Qelmo streets", "voilà, là-bas", "تم افتتاح الجسر، أمس", "شهر بزرگ ما"]
     rows = [(i, "s", t) for i, t in enumerate(bad)] + [(100 + i, "s", t) for i, t in enumerate(clean)]
     # no sample holds ë, so that the model cannot tell; it must see the text nevertheless
     frame = spark.createDataFrame(rows + [(200, "t", _garble("Noël", "utf-8", "cp1256"))], "doc_id bigint, source string, text string")
-    assert {r["doc_id"] for r in M._suspects(frame).collect()} >= {*range(len(bad)), 200}
+    suspects = M.make_suspects(M.Model([t for _, t in pairs]))
+    assert all(suspects([t for _, _, t in frame.collect() if t in bad or "أ«" in t]))
     got = {r["doc_id"]: r["restored"] for r in M.restored_texts(frame, samples).collect()}
     assert got == dict(enumerate([*words, "the Vilã streets", "the Vilã streets"]))
 
 
-def test_expectation_maximization_learns_the_cipher(pairs):
+def _counted(texts):
     from collections import Counter
 
-    texts = [t for lang, t in pairs if lang == "ar"]
-    counts = Counter()
+    cut, counts = M.make_symbols(M.all_swaps()), Counter()
     for text in texts:
-        chain = " " + _garble(text.translate({0x61B: None}), "iso8859-6", "latin-1") + " " if all(ord(c) < 128 or 0x621 <= ord(c) <= 0x652 or c in "،؛؟" for c in text) else "  "
-        counts.update(zip(chain, chain[1:]))
-    mapping = M.learn_mapping([(a, b, n) for (a, b), n in counts.items()], M.Model([t for _, t in pairs]), M.all_swaps())
-    right = [max(c, key=c.get) == _garble(s, "latin-1", "iso8859-6") for s, c in mapping.items() if len(s) == 1 and 0xC1 <= ord(s) <= 0xEA]
-    assert len(right) > 15 and sum(right) >= 0.85 * len(right)
+        for word in text.split():
+            if not word.isascii():
+                chain = [" ", *cut(word), " "]
+                counts.update(zip(chain, chain[1:]))
+    return [(a, b, n) for (a, b), n in counts.items()]
+
+
+def test_expectation_maximization_learns_the_cipher(pairs):
+    texts = [_garble("".join(c for c in t if ord(c) < 128 or 0x621 <= ord(c) <= 0x64A), "iso8859-6", "latin-1") for lang, t in pairs if lang == "ar"]
+    found = M.learn_ciphers(_counted(texts), M.Model([t for _, t in pairs]), M.all_swaps())
+    right = [letter == _garble(s, "latin-1", "iso8859-6") for s, (letter, _) in found["iso8859-6>latin-1"].items() if 0xC1 <= ord(s) <= 0xEA]
+    assert len(right) > 15 and sum(right) >= 0.9 * len(right)
+
+
+def test_counts_overrule_the_reading_of_a_known_page(pairs):
+    """A page that differs from a known one in two letters: what the words say wins."""
+    texts = [t for lang, t in pairs if lang == "ar"]
+    swapped = str.maketrans("لم", "مل")
+    garbled = ["".join(c for c in t.translate(swapped) if ord(c) < 128 or 0x621 <= ord(c) <= 0x64A).encode("cp1256").decode("latin-1") for t in texts * 4]
+    table = M.learn_ciphers(_counted(garbled), M.Model([t for _, t in pairs]), M.all_swaps())["cp1256>latin-1"]
+    lam, mim = (_garble(c, "cp1256", "latin-1") for c in "لم")
+    assert (table[lam][0], table[mim][0]) == ("م", "ل")
+
+
+@pytest.mark.parametrize("true, read, lang, share", [("cp1256", "koi8-r", "ar", 0.97), ("cp1252", "koi8-r", "fr", 0.8), ("iso8859-6", "cp1251", "ar", 0.97)])
+def test_a_swap_that_no_list_holds_is_learnt_and_restored(spark, samples, pairs, true, read, lang, share):
+    assert (true, read) not in M.PAGE_SWAPS
+    texts = [t.encode(true, "ignore").decode(true) for x, t in pairs if x == lang]
+    texts = [a + " " + b for a, b in zip(texts, texts[1:])]
+    rows = [(i, "s", _garble(t, true, read)) for i, t in enumerate(texts)] + [(1000 + i, "s", t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["restored"] for r in M.restored_texts(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), samples).collect()}
+    assert set(got) == set(range(len(texts)))
+    same = [x.lower() == y.lower() for i, t in enumerate(texts) for x, y in zip(got[i], t) if not y.isascii()]
+    assert sum(same) >= share * len(same)
+
+
+def test_another_language_is_no_cipher(pairs):
+    russian = "В понедельник совет объявил о новом плане развития города и порта. Жители района сказали, что не видели таких перемен много лет. По словам директора школы, дети начнут учиться в новом здании осенью. Рыбаки вернулись домой поздно вечером, потому что море было очень неспокойным. Музей открыл выставку старых карт и морских приборов."
+    assert M.FREE not in M.learn_ciphers(_counted([russian] * 10), M.Model([t for _, t in pairs]), M.all_swaps())
+
+
+def test_nothing_is_found_without_the_learnt_mapping(pairs):
+    restore = M.make_restorer(M.Model([t for _, t in pairs]), M.all_swaps())
+    run = _garble(pairs[0][1].split("\n")[0], "utf-8", "latin-1")
+    assert not restore(run, {})[2]
+    table = M.learn_ciphers(_counted([run]), M.Model([t for _, t in pairs]), M.all_swaps())
+    assert restore(run, table)[2]
 
 
 def test_truncated_summaries(spark):
