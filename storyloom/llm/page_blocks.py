@@ -5,13 +5,15 @@ bag of its words, a hashed path and a few shape figures; a bidirectional LSTM in
 classifies every block from the context of the whole page. The texts here hold no tags; in place of the tag path
 stands the site's host with the block's shape (its pattern of words, digits and separators).
 
-No labelled pages exist, so the labeller is trained on a bounded sample of pages (SITE_PAGES for each source, MAX_PAGES
-in all, the first ones in the order of a hash) whose blocks get weak labels from what the sample repeats: see weak_labels.
+No labelled pages exist, so the labeller is trained on a bounded sample of pages (about SITE_PAGES of each source and
+MAX_PAGES in all, whole sites where there are many, chosen by hash thresholds from a count) whose blocks get weak labels
+from what the pages repeat: see weak_labels. What is repeated is counted over all pages, for the lines of the sample.
 Every page is then labelled by the network alone, at a cost that is linear in its blocks and needs no shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -20,11 +22,12 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample, and the size of the network.
 SITE_PAGES, MAX_PAGES = 200, 4000
+#: Sources of fewer pages repeat too little to be told from themselves: lines count there that so many sources have.
+FEW_PAGES, MANY_SITES = 50, 3
 BUCKETS, WORD_DIM, PATH_DIM, HIDDEN, DENSE = 1 << 13, 16, 12, 24, 9
 STEPS, BATCH, RATE = 150, 64, 0.015
 THRESHOLD = 0.5
@@ -47,56 +50,94 @@ def blocks_of(body: str) -> list[tuple[int, str]]:
     return [(i, line.strip()) for i, line in enumerate(body.split("\n"), 1) if line.strip()]
 
 
-def weak_labels(pages: list[tuple[str, str, str]]) -> list[list[int]]:
+def _words(text: str) -> list[str]:
+    return [w for w in _TOKENS(comparable(text)) if w.isalnum()]
+
+
+def _prefix(text: str) -> str | None:
+    return comparable(m.group(1)) if len(text) < 200 and (m := _PREFIX(text)) else None
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def line_keys(text: str) -> list[int]:
+    """What is counted of a line: itself, and the prefix that ends in a separator."""
+    p = _prefix(text)
+    return [_key("line", comparable(text))] + ([_key("prefix", p)] if p else [])
+
+
+def title_keys(text: str) -> list[int]:
+    """What is counted of a title: its first word and its pairs of words."""
+    words = _words(text)
+    return [_key("head", w) for w in words[:1]] + [_key("pair", *p) for p in zip(words, words[1:])]
+
+
+def count_keys(pages: list[tuple[str, str | None, str]], wanted: set[int] | None = None) -> Counter:
+    """(source, key) to the number of pages (source, title, body) that have it; titles count under no source. wanted: other keys are left out."""
+    counts: Counter = Counter()
+    for source, title, body in pages:
+        found = {k for _, text in blocks_of(body) for k in line_keys(text)}
+        counts.update((source, k) for k in (found if wanted is None else found & wanted))
+        heads = set(title_keys(title or ""))
+        counts.update(("", k) for k in (heads if wanted is None else heads & wanted))
+    return counts
+
+
+def wanted_keys(pages: list[tuple[str, str | None, str]]) -> set[int]:
+    """All keys that labels of these pages depend on."""
+    return {k for _, _, body in pages for _, text in blocks_of(body) for k in (*line_keys(text), *([] if _ENDED(text) else title_keys(text)))}
+
+
+def weak_labels(pages: list[tuple[str, str, str]], counts: Counter | None = None, totals: dict[str, int] | None = None, spread: dict[int, int] | None = None) -> list[list[int]]:
     """Labels (1: of the page, 0: of the article) of the blocks of sample pages (source, title, body).
 
-    Of the page are: lines that the source repeats on at least 3 pages and 2 % of them; lines that begin with a
-    repeated prefix ending in a separator; lines of a column, which begins after a repeated line that is mostly followed
-    by headlines and ends at the next repeated line; and unpunctuated lines that read like headlines (their first word begins
-    a title of the sample, and their word pairs stand in titles). Everything else, subheads and list entries included, is the article's.
+    counts, totals and spread (sources that have a key) are of all pages, or of these where they are not given. Of the page are:
+    lines that the source repeats on at least 3 pages and 2 % of them; lines that begin with a repeated prefix ending in a
+    separator; lines of a column, which begins after a repeated line that is mostly followed by headlines and ends at the
+    next repeated line; and unpunctuated lines that read like headlines (their first word begins a title, and their word pairs
+    stand in titles). In sources of few pages a line is repeated that stands on two of their pages, or, unless it ends like a
+    sentence, in several sources; columns are told there from all such sources together. Everything else, subheads and list
+    entries included, is the article's.
     """
+    counts = count_keys(pages) if counts is None else counts
+    totals = Counter(source for source, _, _ in pages) if totals is None else totals
+    if spread is None:
+        spread = Counter(k for source, k in counts if source)
     lines = [[text for _, text in blocks_of(body)] for _, _, body in pages]
-    totals = Counter(source for source, _, _ in pages)
-    counts: Counter = Counter()
-    for (source, _, _), page in zip(pages, lines):
-        counts.update({(source, comparable(x)) for x in page})
-        counts.update({(source, "prefix", comparable(m.group(1))) for x in page if (m := _PREFIX(x)) and len(x) < 200})
-    enough = {source: max(3, 0.02 * n) for source, n in totals.items()}
+    few = {source: totals[source] < FEW_PAGES for source, _, _ in pages}
+    enough = {source: 2 if few[source] else max(3, 0.02 * totals[source]) for source in few}
 
-    def often(source: str, *key: str) -> bool:
-        return counts[source, *key] >= enough[source]
+    def often(source: str, key: int, pooled: bool) -> bool:
+        return counts[source, key] >= enough[source] or (pooled and few[source] and spread.get(key, 0) >= MANY_SITES)
 
     def prefixed(source: str, text: str) -> bool:
-        return bool((m := _PREFIX(text)) and len(text) < 200 and often(source, "prefix", comparable(m.group(1))))
-
-    pairs: set[tuple[str, str]] = set()
-    heads: set[str] = set()
-    for _, title, _ in pages:
-        words = [w for w in _TOKENS(comparable(title or "")) if w.isalnum()]
-        pairs.update(zip(words, words[1:]))
-        heads.update(words[:1])
+        p = _prefix(text)
+        return bool(p) and often(source, _key("prefix", p), True)
 
     def headline(text: str) -> bool:
-        words = [w for w in _TOKENS(comparable(text)) if w.isalnum()]
-        seen = [p in pairs for p in zip(words, words[1:])]
-        return len(words) >= 4 and words[0] in heads and sum(seen) >= 0.4 * len(seen)
+        keys = title_keys(text)
+        seen = [("", k) in counts for k in keys[1:]]
+        return len(keys) >= 4 and ("", keys[0]) in counts and sum(seen) >= 0.4 * len(seen)
 
-    repeated = [[often(source, comparable(x)) for x in page] for (source, _, _), page in zip(pages, lines)]
+    repeated = [[often(source, _key("line", comparable(x)), not _ENDED(x) and len(x) < 200) for x in page] for (source, _, _), page in zip(pages, lines)]
     follows: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    column_of = lambda source, text: ("" if few[source] else source, comparable(text))
     for (source, _, _), page, marks in zip(pages, lines, repeated):
         for k in range(len(page) - 1):
             if marks[k] and not marks[k + 1]:
-                seen = follows[source, comparable(page[k])]
+                seen = follows[column_of(source, page[k])]
                 seen[0] += 1
                 seen[1] += not prefixed(source, page[k + 1]) and (bool(_NUMBERED(page[k + 1])) or (not _ENDED(page[k + 1]) and headline(page[k + 1])))
             elif marks[k]:
-                follows[source, comparable(page[k])][0] += 1
+                follows[column_of(source, page[k])][0] += 1
     out = []
     for (source, _, _), page, marks in zip(pages, lines, repeated):
         labels, column = [], False
         for text, mark in zip(page, marks):
             if mark:
-                n, teasers = follows[source, comparable(text)]
+                n, teasers = follows[column_of(source, text)]
                 column = n >= 3 and teasers >= 0.5 * n
                 labels.append(1)
             elif column or prefixed(source, text):
@@ -295,12 +336,47 @@ def page_bodies(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sites, "source_id", "left_semi")
 
 
+def sample_pages(pages: DataFrame, site_pages: int = SITE_PAGES, most: int = MAX_PAGES) -> tuple[list, dict[str, int]]:
+    """(rows, pages of each sampled source) of a sample by hash thresholds: about `site_pages` pages of a source, and so many
+    sources that about `most` pages come together. Only counts are shuffled; the bodies of the sample go to the driver."""
+    totals = pages.groupBy("source_id").agg(F.count("*").alias("__n"))
+    few, some = F.least("__n", F.lit(FEW_PAGES)), F.least("__n", F.lit(max(site_pages, FEW_PAGES)))
+    least, whole = totals.agg(F.sum(few), F.sum(some)).first()
+    least, whole = least or 0, whole or 0
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_003)) / 1_000_003.0
+    # FEW_PAGES of a source show what it repeats: first more pages are given up, then sources
+    more = min(1.0, max(0.0, most - least) / max(whole - least, 1))
+    chosen = totals.filter(part("source_id") <= min(1.0, most / max(least, 1))).filter("source_id is not null")
+    rate = (few + more * (some - few)) / F.col("__n")
+    rows = pages.join(chosen.withColumn("__rate", rate), "source_id").filter(part("article_id", F.lit(1)) <= F.col("__rate"))
+    # the thresholds give about `most` rows; the limit only bounds chance
+    got = rows.select("source_id", "title", "url", "body", "__n").limit(4 * most).collect()
+    return sorted(got, key=lambda r: (r["source_id"], r["url"] or "", r["body"])), {r["source_id"]: r["__n"] for r in got}
+
+
+def _count_all(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = count_keys(list(zip(batch["source_id"], batch["title"], batch["body"])), shared.value)
+            yield pd.DataFrame([(s, k, n) for (s, k), n in counts.items()], columns=["source_id", "key", "n"])
+
+    return run
+
+
 def fit_labeller(articles: DataFrame, sources: DataFrame, site_pages: int = SITE_PAGES, most: int = MAX_PAGES) -> dict:
-    """The network trained on the bounded sample of pages."""
-    rank = F.row_number().over(W.partitionBy("source_id").orderBy(F.xxhash64("article_id"), "article_id", "body"))
-    sample = page_bodies(articles, sources).withColumn("__r", rank).filter(F.col("__r") <= site_pages)
-    rows = sample.orderBy("__r", "source_id").limit(most).select("source_id", "title", "url", "body").collect()
-    labels = weak_labels([(r["source_id"], r["title"], r["body"]) for r in rows])
+    """The network trained on the bounded sample of pages; repeats of its lines are counted over all pages."""
+    pages = page_bodies(articles, sources)
+    rows, totals = sample_pages(pages, site_pages, most)
+    sample = [(r["source_id"], r["title"], r["body"]) for r in rows]
+    wanted = wanted_keys(sample)
+    shared = articles.sparkSession.sparkContext.broadcast(wanted)
+    hits = pages.select("source_id", "title", "body").mapInPandas(_count_all(shared), "source_id string, key bigint, n bigint")
+    # as many rows reach the driver as keys of the sample: counts of its own sources, and the number of sources of a key
+    by_source = hits.groupBy("key", "source_id").agg(F.sum("n").alias("n"))
+    own = F.when((F.col("source_id") == "") | F.col("source_id").isin(sorted(totals)), F.struct("source_id", "n"))
+    merged = by_source.groupBy("key").agg(F.approx_count_distinct(F.when(F.col("source_id") != "", F.col("source_id"))).alias("spread"), F.collect_list(own).alias("own")).collect()
+    counts = Counter({(o["source_id"], r["key"]): o["n"] for r in merged for o in r["own"]})
+    labels = weak_labels(sample, counts, totals, {r["key"]: r["spread"] for r in merged})
     return train([(r["url"], [text for _, text in blocks_of(r["body"])]) for r in rows], labels)
 
 

@@ -70,3 +70,60 @@ def test_tables(spark, tables):
     texts = {r["article_id"]: r["text"] for r in P.main_bodies(articles, sources).collect()}
     assert NAV not in texts[5] and "said that" in texts[5]
     assert P.page_lines_found(articles.limit(0), sources).count() == 0
+
+
+def small_sites(n, seed=4):
+    """Two pages of each of n sites: (source_id, title, url, body, truth), with navigation and footers in each site's own words."""
+    rng = random.Random(seed)
+    sections = "World Local Sport Culture Business Weather Opinion Health Science Travel Schools Jobs".split()
+    nouns = [a + b for a in "council harbour ferry museum school tunnel market clinic".split() for b in ("", "man", "side", "way", "land", "hall", "gate", "yard")]
+    sentence = lambda: f"The {rng.choice(nouns)} said that the {rng.choice(nouns)} will open {rng.randrange(90)} days later than it was planned."
+    head = lambda: f"{rng.choice(['Council', 'Mayor', 'Port'])} to open {rng.choice(nouns)} and {rng.choice(nouns)} in spring"
+    out = []
+    for site in range(n):
+        nav = " | ".join(["Home", *rng.sample(sections, 4)])
+        extra = rng.choice(["Share this", "Print page", "Send by mail", "Save article"])
+        heading = rng.choice(["Most read", "Read next", "More stories", "Latest news"])
+        for page in range(2):
+            lines, truth = [nav, f"{extra} {rng.randrange(99)}"], [1, 1]
+            for _ in range(rng.randint(2, 5)):
+                lines.append(" ".join(sentence() for _ in range(rng.randint(1, 3))))
+                truth.append(0)
+            if rng.random() < 0.5:
+                lines.insert(3, f"What the {rng.choice(nouns)} {rng.choice(nouns)} found {rng.randrange(999)}")
+                truth.insert(3, 0)
+            lines += [heading, *(head() for _ in range(3)), f"© 2026 Paper {site} all rights"]
+            truth += [1, 1, 1, 1, 1]
+            out.append((f"s{site}", head(), f"https://s{site}.example/{page}", "\n".join(lines), truth))
+    return out
+
+
+def test_sites_of_two_pages():
+    """Five thousand sites of two pages each; the truth is the generator's, not that of the weak labels."""
+    data = small_sites(5000)
+    counts = P.count_keys([(s, t, b) for s, t, _, b, _ in data])
+    totals = {s: 2 for s, *_ in data}
+    spread = {}
+    for s, k in counts:
+        spread[k] = spread.get(k, 0) + (s != "")
+    sample = data[:3000]
+    labels = P.weak_labels([(s, t, b) for s, t, _, b, _ in sample], counts, totals, spread)
+    net = P.train([(u, [x for _, x in P.blocks_of(b)]) for _, _, u, b, _ in sample], labels)
+    held = data[-2000:]
+    blocks = [[x for _, x in P.blocks_of(b)] for *_, b, _ in held]
+    p = P.probabilities(net, P.make_features()([(q[2], b) for q, b in zip(held, blocks)]), [len(b) for b in blocks])
+    truth = [y for q in held for y in q[4]]
+    hits = sum(x >= 0.5 and y for x, y in zip(p, truth))
+    assert hits >= 0.95 * sum(truth) and hits >= 0.95 * sum(x >= 0.5 for x in p)
+
+
+def test_sample_is_whole_sites_by_thresholds(spark):
+    rows = [(i, s, t, u, b) for i, (s, t, u, b, _) in enumerate(small_sites(300))] + [(10_000 + i, "big", "t", "u", f"line {i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "article_id bigint, source_id string, title string, url string, body string")
+    got, totals = P.sample_pages(pages, 100, 400)
+    per = {}
+    for r in got:
+        per[r["source_id"]] = per.get(r["source_id"], 0) + 1
+    small = [n for s, n in per.items() if s != "big"]
+    assert set(small) == {2} and 100 < len(small) < 300 and 10 < per.get("big", 50) < 200
+    assert totals[got[0]["source_id"]] in (2, 3000)
