@@ -348,7 +348,12 @@ def sample_pages(pages: DataFrame, site_pages: int = SITE_PAGES, most: int = MAX
     more = min(1.0, max(0.0, most - least) / max(whole - least, 1))
     chosen = totals.filter(part("source_id") <= min(1.0, most / max(least, 1))).filter("source_id is not null")
     rate = (few + more * (some - few)) / F.col("__n")
-    rows = pages.join(chosen.withColumn("__rate", rate), "source_id").filter(part("article_id", F.lit(1)) <= F.col("__rate"))
+    # every chosen source gives a page at least, so that there are no more than `most` of them: bounded, hence broadcast
+    names = chosen.select("source_id", "__n", rate.alias("__rate")).limit(4 * most).collect()
+    if not names:
+        return [], {}
+    small = F.broadcast(pages.sparkSession.createDataFrame(names, "source_id string, __n bigint, __rate double"))
+    rows = pages.join(small, "source_id").filter(part("article_id", F.lit(1)) <= F.col("__rate"))
     # the thresholds give about `most` rows; the limit only bounds chance
     got = rows.select("source_id", "title", "url", "body", "__n").limit(4 * most).collect()
     return sorted(got, key=lambda r: (r["source_id"], r["url"] or "", r["body"])), {r["source_id"]: r["__n"] for r in got}
