@@ -68,14 +68,14 @@ def stem_word(word: str) -> str:
     return re.sub(STEM, r"\1", word)
 
 
-def canonical_tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
+def canonical_tokens(text: Column, lexicon: Lexicon | None = None, compatibility: bool = False) -> Column:
     """Distinct stems without stopwords, bare years and single letters; number words as digits.
 
     With aliases the phrases are replaced first, longest first from left to right, in a vectorised Python function;
-    without any the expression stays in the JVM.
+    without any, and without NFKC (compatibility), the expression stays in the JVM.
     """
     lexicon = lexicon or Lexicon()
-    normal = normalize_text(text)
+    normal = normalize_text(text, compatibility)
     words = alias_words(lexicon)(normal) if lexicon.aliases else words_of(normal)
     numbers = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
     stop = sorted({*lexicon.stopwords, *map(stem_word, lexicon.stopwords)})

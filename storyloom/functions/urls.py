@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: shapes of article addresses.
-ARTICLE_URL = r"(?i)(/article|/news/|/story|/post/|/details?/|/content/|/node/|/\d{4}/\d{1,2}/|-\d{4,}|/\d{4,}|\.html?($|\?))"
+ARTICLE_URL = r"(?i)(/article/|/articles/|/news/|/story/|/post/|/\d{5,}|/\d{4}/\d{2}/|ArticleDetails|NewsDetails|/2026/|/2025/)"
 
 
 def url_key(url: Column) -> Column:

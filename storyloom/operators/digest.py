@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import escape_markdown, first_sentences
+from storyloom.operators.stories import first_seen, primary_of
 
 
 def search(cards: DataFrame, query: str = "", category: str = "") -> DataFrame:
@@ -16,29 +17,54 @@ def search(cards: DataFrame, query: str = "", category: str = "") -> DataFrame:
     return rows.filter(hay.contains(query.lower())) if query else rows
 
 
-def extractive_analysis(stories: DataFrame) -> DataFrame:
-    """A deterministic record for each story (M-1): headline and first sentences in its language, confidence by outlets, tags.
+def extractive_analysis(members: DataFrame) -> DataFrame:
+    """A deterministic record for each story without any model (M-1).
 
-    stories: (story_id, title, summary, body, lang, outlet_count, category).
+    Headlines only in the primary article's own language; the English summary is its first sentences, else its title, whatever its
+    language, the Arabic one only where it is Arabic. Confidence is always low; tags are the first four sections. Others are
+    named by the first four other titles. members: articles of stories (story_id, ord, ...).
     """
-    text = F.coalesce(F.nullif(F.trim("body"), F.lit("")), F.nullif(F.trim("summary"), F.lit("")), F.col("title"), F.lit(""))
-    arabic = F.col("lang") == "ar"
-    both = lambda v, ar: F.when(arabic if ar else ~F.coalesce(arabic, F.lit(False)), v).otherwise(F.lit(""))
-    short = first_sentences(text)
-    confidence = F.when(F.col("outlet_count") >= 3, "high").when(F.col("outlet_count") == 2, "medium").otherwise("low")
-    return stories.select(
+    primary = primary_of(members).select("story_id", F.col("primary_id").alias("article_id"))
+    own = members.join(primary, ["story_id", "article_id"]).select("story_id", "title", "lang", first_sentences(F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("summary"), F.lit(""))).alias("lead"))
+    rank = F.row_number().over(W.partitionBy("story_id").orderBy("ord", "article_id"))
+    rest = members.select("story_id", "ord", "article_id", "title").join(primary, ["story_id", "article_id"], "left_anti").withColumn("__q", rank).filter("__q <= 4")
+    rest = rest.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__q", "title"))), lambda x: x["title"]), "; ").alias("others"))
+    rows = own.join(first_seen(members, "source_name"), "story_id", "left").join(first_seen(members, "section"), "story_id", "left").join(rest, "story_id", "left")
+    short, none = F.coalesce(F.nullif(F.col("lead"), F.lit("")), F.col("title")), F.lit("")
+    names = F.coalesce("source_names", F.array().cast("array<string>"))
+    count, listed = F.size(names).cast("string"), F.array_join(names, ", ")
+    when = lambda lang, value: F.when(F.col("lang") == lang, value).otherwise(none)
+    return rows.select(
         "story_id",
-        both(F.col("title"), False).alias("headline_en"),
-        both(F.col("title"), True).alias("headline_ar"),
-        both(short, False).alias("summary_en"),
-        both(short, True).alias("summary_ar"),
-        confidence.alias("confidence"),
-        F.concat(F.col("outlet_count").cast("string"), F.lit(" outlets")).alias("confidence_reason"),
-        F.array("category").alias("tags"),
+        when("en", F.col("title")).alias("headline_en"),
+        when("ar", F.col("title")).alias("headline_ar"),
+        short.alias("summary_en"),
+        when("ar", short).alias("summary_ar"),
+        F.concat(F.lit("Carried by "), count, F.lit(" outlet(s): "), listed, F.lit(".")).alias("why_it_matters_en"),
+        F.concat(F.lit("عدد المصادر "), count, F.lit(": "), listed, F.lit(".")).alias("why_it_matters_ar"),
+        F.coalesce(F.concat(F.lit("Also: "), "others"), none).alias("between_the_lines_en"),
+        none.alias("between_the_lines_ar"),
+        none.alias("watch_next_en"),
+        none.alias("watch_next_ar"),
+        F.lit("low").alias("confidence"),
+        F.lit("No model was used.").alias("confidence_reason"),
+        F.array().cast("array<string>").alias("entities"),
+        F.slice(F.coalesce("sections", F.array().cast("array<string>")), 1, 4).alias("tags"),
         F.lit("extractive").alias("_source"),
     )
 
 
+def with_analyses(stories: DataFrame, analyses: DataFrame, key: str = "story_id") -> DataFrame:
+    """Every story with its analysis, null where it has none (J-11)."""
+    return stories.join(analyses, key, "left")
+
+
+def reference_order(articles: DataFrame, *first: str) -> DataFrame:
+    """(first, pos, ...): the order of a story's references: tier, outlet, title (T-12)."""
+    order = W.partitionBy(*first).orderBy(F.coalesce("tier", F.lit(2)), "source_name", "title", "article_id")
+    return articles.withColumn("pos", F.row_number().over(order))
+
+
 def extractive_synthesis(stories: DataFrame, carried: str = "", limit: int = 8) -> DataFrame:
     """One row for each edition: the note from counts, the first story, majors, history cut to 1200 characters, distinct entities (A-19).
 

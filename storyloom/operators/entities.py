@@ -20,10 +20,11 @@ def not_outlets(names: DataFrame, outlets: DataFrame, column: str = "entity", ou
     # an outlet that begins with the name: the name is one of the outlet's prefixes, and the other way round
     prefixes = lambda c: F.transform(F.sequence(F.lit(4), F.length(c)), lambda n: F.substring(c, 1, n))
     longer = right.select(F.explode(prefixes(F.col("o"))).alias("p")).distinct()
-    kept = left.join(longer, F.col("__f") == F.col("p"), "left_anti").withColumn("__row", F.monotonically_increasing_id())
-    own = kept.select("__row", F.explode(F.when(F.length("__f") >= 4, prefixes(F.col("__f"))).otherwise(F.array().cast("array<string>"))).alias("q"))
-    hit = own.join(right, F.col("q") == F.col("o"), "left_semi").select(F.col("__row").alias("__hit")).distinct()
-    return kept.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row", "__f")
+    kept = left.join(longer, F.col("__f") == F.col("p"), "left_anti")
+    # only the forms are compared a second time, each once
+    own = left.select("__f").filter(F.length("__f") >= 4).distinct().select(F.col("__f").alias("__hit"), F.explode(prefixes(F.col("__f"))).alias("q"))
+    hit = own.join(right, F.col("q") == F.col("o"), "left_semi").select("__hit").distinct()
+    return kept.join(hit, F.col("__f") == F.col("__hit"), "left_anti").drop("__f")
 
 
 def normal_entity(name: Column, lexicon: Lexicon | None = None) -> Column:
@@ -93,6 +94,10 @@ def mentioned(entities: DataFrame, texts: DataFrame) -> DataFrame:
     bare = F.regexp_replace(phrase_form(F.col("entity")), r"^ (the|a|an) ", " ")
     names = entities.filter("entity is not null").select("entity", F.explode(F.array_distinct(F.array(phrase_form(F.col("entity")), bare))).alias("needle")).filter(F.trim("needle") != "")
     names = names.withColumn("w", F.element_at(F.split(F.trim("needle"), " "), 1))
-    rows = texts.filter("text is not null").select(phrase_form(F.col("text")).alias("hay"))
-    rows = rows.select("hay", F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("w"))
-    return rows.join(names, "w").filter(F.contains(F.col("hay"), F.col("needle"))).select("entity").distinct()
+    # each text looks its first words up; only texts with a candidate keep their words, as a set of needles of each
+    words = texts.filter("text is not null").select(phrase_form(F.col("text")).alias("hay"))
+    rows = words.select("hay", F.xxhash64("hay").alias("h"))
+    firsts = names.groupBy("w").agg(F.count("*").alias("n"))
+    index = rows.select("h", F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("w")).join(firsts.select("w"), "w", "left_semi").join(names, "w")
+    pairs = index.select("h", "entity", "needle").distinct()
+    return pairs.join(rows.dropDuplicates(["h"]), "h").filter(F.contains(F.col("hay"), F.col("needle"))).select("entity").distinct()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +14,26 @@ def upsert(memory: DataFrame, fresh: DataFrame, keep: int = 30) -> DataFrame:
 
     The newest are taken in every partition first, so that no task sees more than it keeps.
 
-    Several fresh records of a date: any one of them stays. Records without a date are left out.
+    Of several records of a date the greatest as JSON stays, whatever the order of rows. Records without a date are left out.
     """
-    new = fresh.filter("date is not null and cast(date as string) <> ''").dropDuplicates(["date"])
+    dated = fresh.filter("date is not null and cast(date as string) <> ''")
+    row = F.struct(*[F.col(c) for c in fresh.columns])
+    new = dated.groupBy(F.col("date").alias("__d")).agg(F.max_by(row, F.to_json(row)).alias("r")).select("r.*")
     whole = memory.join(new.select("date"), "date", "left_anti").unionByName(new, allowMissingColumns=True)
     return whole.orderBy(F.desc("date")).limit(keep)
 
 
+def truthy(records: DataFrame, fields: list[str]) -> DataFrame:
+    """Records with the date and the named fields only; blank texts, empty arrays, zero and false become null (P-4)."""
+    kept = [F.col("date")]
+    for name, kind in records.dtypes:
+        if name in fields and name != "date":
+            c = F.col(name)
+            full = F.trim(c) != "" if kind == "string" else F.size(c) > 0 if kind.startswith(("array", "map")) else c if kind == "boolean" else c != 0 if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") else c.isNotNull()
+            kept.append(F.when(full, c).alias(name))
+    return records.select(*kept)
+
+
 def recall(memory: DataFrame, days: int = 7, before: str | None = None) -> DataFrame:
     """The last `days` records, without the one of `before`; 0 days: all (T-10)."""
     rows = memory if before is None else memory.filter(F.col("date") != F.lit(before))
@@ -66,21 +78,52 @@ def store_answers(batch: DataFrame, answers: DataFrame, fallback: str, value: st
     return rows.withColumn(value, F.coalesce("__a", fallback)).withColumn("is_missing", F.col("__a").isNull()).drop("__a")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(Hadoop path class, file system) of a path, local or shared."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    return fs.Path, fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def load_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records with a date from JSON lines; corrupt lines are left out, a missing file is empty (S-15)."""
-    if not os.path.exists(path):
+    at, fs = _hadoop(spark, path)
+    if not fs.exists(at(path)):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("date is not null and date <> ''")
 
 
+def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache table; a missing or unreadable one is empty, so that a broken cache costs time but no run (S-16)."""
+    at, fs = _hadoop(spark, path)
+    try:
+        if fs.exists(at(path)):
+            rows = spark.read.schema(schema).parquet(path)
+            rows.limit(1).count()
+            return rows
+    except Exception:  # noqa: BLE001 - any unreadable file counts as no cache
+        pass
+    return spark.createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that replace_table wrote, or its last good copy where a writer died between its two renames."""
+    at, fs = _hadoop(spark, path)
+    for place in (path, f"{path}.old"):
+        if fs.exists(at(place)):
+            return spark.read.parquet(place)
+    return None
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table and rename, so that a state table may be computed from itself (K-3)."""
+    """Write beside the table and rename, so that a state table may be computed from itself (K-3).
+
+    The old table is removed last: at every moment `path` or `path`.old is whole, see read_state.
+    """
     staging, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
     df.write.mode("overwrite").parquet(staging)
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(old), True)
-    if fs.exists(hadoop.Path(path)):
-        fs.rename(hadoop.Path(path), hadoop.Path(old))
-    fs.rename(hadoop.Path(staging), hadoop.Path(path))
-    fs.delete(hadoop.Path(old), True)
+    at, fs = _hadoop(df.sparkSession, path)
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)  # a whole table stands at `path`
+        fs.rename(at(path), at(old))
+    fs.rename(at(staging), at(path))
+    fs.delete(at(old), True)

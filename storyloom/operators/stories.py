@@ -12,8 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import normalize_text
-from storyloom.vocab.words import CATEGORIES, CATEGORY_SECTIONS, OTHER_SECTION, OTHER_TIER, SECTION_WEIGHT, TIER_WEIGHT, Lexicon
+from storyloom.functions.text import normal_python, normalize_text
+from storyloom.vocab.words import (
+    CATEGORIES,
+    CATEGORY_SECTIONS,
+    KEYWORD_POINTS,
+    KEYWORD_TITLES,
+    OTHER_SECTION,
+    OTHER_TIER,
+    SECTION_WEIGHT,
+    STRONG_POINTS,
+    TIER_WEIGHT,
+    WEAK_POINTS,
+    Lexicon,
+)
 
 
 def unique_members(members: DataFrame) -> DataFrame:
@@ -61,10 +73,12 @@ def recency_bonus(latest: Column, run: Column) -> Column:
 def story_scores(members: DataFrame, run_ts: dt.datetime | Column) -> DataFrame:
     """(story_id, score, outlet_count): tier and section weights, each source full once and 0.15 after, breadth, recency, detail (A-7)."""
     run = run_ts if isinstance(run_ts, Column) else F.lit(run_ts)
-    first = F.row_number().over(W.partitionBy("story_id", "source_id").orderBy("ord", "article_id")) == 1
     weight = _lookup(F.col("tier"), TIER_WEIGHT, OTHER_TIER) * _lookup(F.coalesce(F.nullif(F.col("section"), F.lit("")), F.lit("general")), SECTION_WEIGHT, OTHER_SECTION)
-    weighted = members.withColumn("__w", weight * F.when(first, 1.0).otherwise(0.15))
-    base = weighted.groupBy("story_id").agg(F.sum(F.round("__w", 6)).alias("base"))
+    # each source: its first article full, the others less; minima and sums, so that no story is gathered
+    later = F.round(weight * 0.15, 6)
+    first = F.struct("ord", "article_id", F.round(weight, 6).alias("full"), later.alias("later"))
+    per_source = members.groupBy("story_id", "source_id").agg(F.min(first).alias("f"), F.sum(later).alias("all"))
+    base = per_source.groupBy("story_id").agg(F.sum(F.col("all") - F.col("f.later") + F.col("f.full")).alias("base"))
     joined = base.join(story_aggregates(members), "story_id").join(primary_of(members), "story_id")
     score = F.col("base") + 2.6 * (F.col("outlet_count") - 1) + recency_bonus(F.col("latest"), run) + 0.8 * F.least(F.col("primary_length") / 2500, F.lit(1.0)) + 1.5 * F.col("any_tier1")
     return joined.select("story_id", F.round(score, 6).alias("score"), "outlet_count")
@@ -76,32 +90,39 @@ def ranked(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order))
 
 
+def first_titles(members: DataFrame, n: int) -> DataFrame:
+    """(story_id, text): the first n titles of each story, joined; the window keeps n rows of a story before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("story_id").orderBy("ord", "article_id"))
+    rows = members.select("story_id", "ord", "article_id", "title").withColumn("__r", rank).filter(F.col("__r") <= n)
+    return rows.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.coalesce("title", F.lit("")).alias("t")))), lambda s: s["t"]), " ").alias("text"))
+
+
+def keyword_found(text: Column, keyword: str) -> Column:
+    """Whether a normal text holds a keyword: Latin ones as whole words, plural included, others anywhere; null for an empty one."""
+    plain = normal_python(keyword)
+    if not plain:
+        return F.lit(False)
+    # the plain search comes first, as it is cheap and mostly fails
+    return text.contains(plain) & text.rlike(rf"(?<![a-z0-9]){plain}(?:e?s)?(?![a-z0-9])") if plain.isascii() else text.contains(plain)
+
+
 def categories(members: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """(story_id, category): sections strongly 1.5 or weakly 0.4, 0.8 for each keyword in the first six titles; ties go to the
-    earlier category; Other where nothing scores (A-8). Latin keywords match whole words (plural included), others anywhere."""
+    """(story_id, category): once 1.5 and 0.4 points for strongly and weakly naming sections, 0.8 for each keyword in the first six
+    titles; ties go to the earlier category; Other where nothing scores (A-8). Sections are maxima and titles are limited before
+    the shuffle, so that a story with most rows costs no more."""
     lexicon = lexicon or Lexicon()
     section = F.col("section")
-    title = F.concat(F.lit(" "), normalize_text(F.col("title")), F.lit(" "))
-    rank = F.row_number().over(W.partitionBy("story_id").orderBy("ord", "article_id"))
-    texts = members.withColumn("__r", rank)
-    sums = []
-    for name, (strong, weak) in CATEGORY_SECTIONS.items():
-        points = F.when(section.isin(*strong.split()), 1.5)
-        if weak:
-            points = points.when(section.isin(*weak.split()), 0.4)
-        sums.append(F.sum(F.coalesce(points, F.lit(0.0))).alias(f"s:{name}"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__r") <= 6, F.struct(F.col("__r").alias("r"), title.alias("t"))))), lambda s: s["t"]), " ")
-    per = texts.groupBy("story_id").agg(*sums, joined.alias("text"))
+    some = lambda names: F.max(F.when(section.isin(*names), 1.0).otherwise(0.0)) if names else F.max(F.lit(0.0))
+    points = [F.round(STRONG_POINTS * some(strong) + WEAK_POINTS * some(weak), 6).alias(f"s:{name}") for name, (strong, weak) in CATEGORY_SECTIONS.items()]
+    per = members.groupBy("story_id").agg(*points)
+    texts = first_titles(members, KEYWORD_TITLES).select(F.col("story_id").alias("__s"), normalize_text(F.col("text")).alias("text"))
+    rows = per.join(texts, F.col("story_id").eqNullSafe(F.col("__s")))
     scored = []
     for i, name in enumerate(CATEGORY_SECTIONS):
-        hits = F.lit(0)
-        for word in lexicon.keywords.get(name, []):
-            plain = word.lower()
-            found = F.col("text").rlike(rf"(?<![a-z0-9]){plain}(?:e?s)?(?![a-z0-9])") if plain.isascii() else F.col("text").contains(plain)
-            hits = hits + found.cast("int")
-        scored.append(F.struct((-F.round(F.col(f"s:{name}") + 0.8 * hits, 6)).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("c")))
+        hits = sum((keyword_found(F.col("text"), word).cast("int") for word in lexicon.keywords.get(name, [])), F.lit(0))
+        scored.append(F.struct((-F.round(F.col(f"s:{name}") + KEYWORD_POINTS * hits, 6)).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("c")))
     best = F.array_min(F.array(*scored))
-    return per.select("story_id", best.alias("b")).select("story_id", F.when(F.col("b.s") < 0, F.col("b.c")).otherwise("Other").alias("category"))
+    return rows.select("story_id", best.alias("b")).select("story_id", F.when(F.col("b.s") < 0, F.col("b.c")).otherwise("Other").alias("category"))
 
 
 def category_counts(named: DataFrame) -> DataFrame:
@@ -125,9 +146,7 @@ def coverage_index(members: DataFrame) -> DataFrame:
 
 def story_texts(members: DataFrame, n: int = 6) -> DataFrame:
     """(story_id, text): the first titles of each story (A-18)."""
-    rank = F.row_number().over(W.partitionBy("story_id").orderBy("ord", "article_id"))
-    rows = members.withColumn("__r", rank).filter(F.col("__r") <= n)
-    return rows.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.coalesce("title", F.lit("")).alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    return first_titles(members, n)
 
 
 def top_stories(ranking: DataFrame, n: int = 28) -> DataFrame:

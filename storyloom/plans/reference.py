@@ -67,13 +67,15 @@ def _canonical(x: str) -> str:
 
 TOKENS = f"""
 tok0 as (select edition, article_id, lang, {_canonical("title")} as toks from art),
-tok as (select *, list_filter(toks, lambda t: not list_contains({_list(_stemmed(V.GENERIC))}, t)) as dist from tok0 where len(toks) > 0)"""
+tok as (select *, list_filter(toks, lambda t: not list_contains({_list(_stemmed(V.GENERIC))}, t)) as dist from tok0 where len(toks) > 0),
+cls as (select edition, lang, list_sort(toks) as toks, min(article_id) as article_id, any_value(dist) as dist from tok group by edition, lang, list_sort(toks))"""
 
 _VETO = (
     f"((len(list_intersect(a.toks, {_list(V.CASUALTY)})) > 0 and len(list_intersect(b.toks, {_list(V.CASUALTY)})) > 0 and len(list_intersect(list_intersect(a.toks, {_list(V.CASUALTY)}), b.toks)) = 0)"
     f" or (len(list_intersect(a.toks, {_list(V.COUNTS)})) > 0 and len(list_intersect(b.toks, {_list(V.COUNTS)})) > 0 and list_sort(list_intersect(a.toks, {_list(V.COUNTS)})) <> list_sort(list_intersect(b.toks, {_list(V.COUNTS)}))))"
 )
-_PAIRS = "from tok a join tok b on a.edition = b.edition and a.article_id < b.article_id"
+# classes: equal token sets of one edition and language, by their smallest id
+_PAIRS = "from cls a join cls b on a.edition = b.edition and a.article_id < b.article_id"
 _SCORE = "len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks))"
 _DSCORE = "len(list_intersect(a.dist, b.dist)) / least(len(a.dist), len(b.dist))"
 _EDGES = f"edges as (select a.edition, a.article_id as src, b.article_id as dst, round({_SCORE}, 6) as score {_PAIRS} where {_SCORE} >= 0.5 and len(list_intersect(a.dist, b.dist)) >= 2 and not {_VETO})"
@@ -170,7 +172,17 @@ def slugs(spark, d) -> DataFrame:
     return documents(spark, d).select("doc_id", T.slug(F.col("title")).alias("slug"))
 
 
-@query()
+def _truncated(x: str, limit: int) -> str:
+    return f"case when length({x}) <= {limit} then {x} else rtrim(regexp_replace(substr({x}, 1, {limit}), ' [^ ]*$', ''), ' ') || '…' end"
+
+
+def _sentences(x: str) -> str:
+    """The first three sentences, joined."""
+    clean = rf"trim(regexp_replace({x}, '\s+', ' ', 'g'), ' ')"
+    return rf"array_to_string(list_slice(string_split(regexp_replace({clean}, '([.!?؟]) ', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ')"
+
+
+@query(f"with {ARTICLES}, t as (select article_id, {_sentences('body')} as s from art) select article_id, {_truncated('s', 420)} as lead from t")
 def lead_sentences(spark, d) -> DataFrame:
     return articles(spark, d).select("article_id", T.first_sentences(F.col("body")).alias("lead"))
 
@@ -194,34 +206,46 @@ def json_props(spark, d) -> DataFrame:
 # ---------------------------------------------------------------- similarity and clustering
 
 
+def _classes(spark, d) -> tuple[DataFrame, DataFrame]:
+    return similarity.headline_classes(similarity.tokenised(articles(spark, d)))
+
+
 @query(f"with {ARTICLES}, {TOKENS}, {_EDGES} select * from edges")
 def same_story_edges(spark, d) -> DataFrame:
-    return similarity.same_story_edges(similarity.tokenised(articles(spark, d)))
+    """Pairs of classes; the members of a class are in headline_classes."""
+    return similarity.same_story_edges(_classes(spark, d)[0])
+
+
+@query(f"with {ARTICLES}, {TOKENS} select tok.article_id, cls.article_id as class_id, len(cls.dist) >= 2 as linked from tok join cls on tok.edition is not distinct from cls.edition and tok.lang is not distinct from cls.lang and list_sort(tok.toks) = cls.toks")
+def headline_classes(spark, d) -> DataFrame:
+    """The class of each headline, and whether its copies are linked."""
+    classes, membership = _classes(spark, d)
+    return membership.join(classes.select("class_id", (F.size("dist") >= 2).alias("linked")), "class_id").select("article_id", "class_id", "linked")
 
 
 @query(f"with {ARTICLES}, {TOKENS} select a.article_id as src, b.article_id as dst {_PAIRS} where {_SCORE} >= 0.5 and len(list_intersect(a.dist, b.dist)) >= 2 and {_VETO}")
 def number_veto_pairs(spark, d) -> DataFrame:
-    rows = similarity.tokenised(articles(spark, d))
-    return similarity.same_story_edges(rows, veto=False).join(similarity.same_story_edges(rows), ["edition", "src", "dst"], "left_anti").select("src", "dst")
+    return similarity.same_story_edges(_classes(spark, d)[0], veto=None).select("src", "dst")
 
 
 @query(f"with {ARTICLES}, {TOKENS} select a.edition, a.article_id as src, b.article_id as dst, round({_DSCORE}, 6) as score {_PAIRS} where a.lang <> b.lang and len(list_intersect(a.dist, b.dist)) >= 2 and {_DSCORE} >= 0.3")
 def cross_language_edges(spark, d) -> DataFrame:
-    return similarity.bridge_edges(similarity.tokenised(articles(spark, d)))
+    return similarity.bridge_edges(_classes(spark, d)[0])
 
 
-@query(f"""with recursive {ARTICLES}, {TOKENS}, {_EDGES}, both_ways as (select src, dst from edges union all select dst, src from edges),
+@query(f"""with recursive {ARTICLES}, {TOKENS}, pairs as (select a.article_id as src, b.article_id as dst from tok a join tok b on a.edition = b.edition and a.article_id < b.article_id where {_SCORE} >= 0.5 and len(list_intersect(a.dist, b.dist)) >= 2 and not {_VETO}), both_ways as (select src, dst from pairs union all select dst, src from pairs),
 walk as (select article_id, article_id as other from tok union select w.article_id, e.dst from walk w join both_ways e on e.src = w.other)
 select article_id, min(other) as story_id from walk group by article_id""")
 def stories_graph(spark, d) -> DataFrame:
-    rows = similarity.tokenised(articles(spark, d))
-    return clustering.components(rows.select("article_id"), similarity.same_story_edges(rows))
+    """The SQL links every pair of articles, copies included; the classes give the same stories."""
+    classes, membership = _classes(spark, d)
+    return clustering.graph_stories(classes, membership, similarity.same_story_edges(classes))
 
 
 @query()
 def stories_exact(spark, d) -> DataFrame:
     a = articles(spark, d)
-    return clustering.exact_stories(similarity.tokenised(a), a.select("article_id", "published", F.col("article_id").alias("pos")))
+    return clustering.exact_stories(similarity.tokenised(a, compatibility=True), a.select("article_id", "published", F.col("article_id").alias("pos"), "url"))
 
 
 @query(f"""with {MEMBERS}, t as (select story_id, article_id, list_distinct({_meaningful('title')}) as s from mem),
@@ -229,10 +253,8 @@ p as (select a.story_id, len(list_intersect(a.s, b.s)) as i, len(a.s) as na, len
 select story_id, round(max(case when na > 0 and nb > 0 then greatest(i / (na + nb - i), 0.9 * i / least(na, nb)) else 0.0 end), 6) as similarity from p group by story_id""")
 def story_similarity(spark, d) -> DataFrame:
     """Largest of jaccard and 0.9 of the overlap between two members of a story."""
-    t = members(spark, d).select("story_id", "article_id", T.tokens(F.col("title")).alias("s"))
-    other = t.select("story_id", F.col("article_id").alias("b"), F.col("s").alias("sb"))
-    pairs = t.join(other, "story_id").filter(F.col("article_id") < F.col("b"))
-    return pairs.groupBy("story_id").agg(F.round(F.max(F.greatest(T.jaccard(F.col("s"), F.col("sb")), 0.9 * T.overlap(F.col("s"), F.col("sb")))), 6).alias("similarity"))
+    rows = members(spark, d).select(F.col("story_id").alias("edition"), "article_id", T.tokens(F.col("title")).alias("toks"))
+    return similarity.best_pair(rows).select(F.col("edition").alias("story_id"), F.round("best", 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- stories
@@ -277,10 +299,6 @@ def story_scores(spark, d) -> DataFrame:
     return stories.story_scores(members(spark, d), RUN)
 
 
-def _ranking(spark, d) -> DataFrame:
-    return stories.ranked(stories.story_scores(members(spark, d), RUN))
-
-
 def _ranking(spark, d) -> DataFrame:
     scored = stories.story_scores(members(spark, d), RUN).join(table(spark, d, "stories").select("story_id", "edition"), "story_id")
     return stories.ranked(scored, ("edition",))
@@ -296,10 +314,10 @@ def top_stories(spark, d) -> DataFrame:
     return stories.top_stories(_ranking(spark, d)).select("edition", "story_id", "rank")
 
 
-@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, story_id, rank from ranks where rank between 3 and 62")
+@query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, story_id, rank from ranks where rank between 29 and 88")
 def tail_stories(spark, d) -> DataFrame:
-    """The listed rest after the first two of each edition."""
-    return stories.tail_stories(_ranking(spark, d), 2).select("edition", "story_id", "rank")
+    """The listed rest after the analysed stories of each edition; editions of fewer stories have none."""
+    return stories.tail_stories(_ranking(spark, d)).select("edition", "story_id", "rank")
 
 
 @query(f"with {MEMBERS}, {_SCORES}, {_RANKS} select edition, 'S' || rank as sid, story_id, cast((rank - 1) // 5 as integer) as batch from ranks where rank <= 28")
@@ -315,16 +333,16 @@ def major_count(spark, d) -> DataFrame:
 def _category_sql() -> str:
     points, hits = [], []
     for name, (strong, weak) in V.CATEGORY_SECTIONS.items():
-        arms = f"when section in ({', '.join(repr(x) for x in strong.split())}) then 1.5" + (f" when section in ({', '.join(repr(x) for x in weak.split())}) then 0.4" if weak else "")
-        points.append(f"sum(case {arms} else 0.0 end) as \"s:{name}\"")
+        some = lambda names: f"max(case when section in ({', '.join(map(repr, names))}) then 1 else 0 end)" if names else "0"
+        points.append(f"{V.STRONG_POINTS} * {some(strong)} + {V.WEAK_POINTS} * {some(weak)} as \"s:{name}\"")
         found = []
-        for word in V.DEFAULT_KEYWORDS[name]:
+        for word in map(T.normal_python, V.DEFAULT_KEYWORDS[name]):
             found.append(rf"(case when regexp_matches(text, '(^|[^a-z0-9]){word}(e?s)?($|[^a-z0-9])') then 1 else 0 end)" if word.isascii() else f"(case when contains(text, '{word}') then 1 else 0 end)")
-        hits.append(f"round(cast(\"s:{name}\" + 0.8 * ({' + '.join(found)}) as double), 6)")
+        hits.append(f"round(cast(\"s:{name}\" + {V.KEYWORD_POINTS} * ({' + '.join(found)}) as double), 6)")
     best = "greatest(" + ", ".join(hits) + ")"
     arms = " ".join(f"when {h} = {best} then '{name}'" for h, name in zip(hits, V.CATEGORY_SECTIONS))
     return f"""numbered as (select *, row_number() over (partition by story_id order by ord, article_id) as r from mem),
-    texts as (select story_id, {', '.join(points)}, coalesce(string_agg(case when r <= 6 then ' ' || {_normal('title')} || ' ' end, ' ' order by r), '') as text from numbered group by story_id),
+    texts as (select *, {_normal("titles")} as text from (select story_id, {', '.join(points)}, string_agg(case when r <= {V.KEYWORD_TITLES} then title end, ' ' order by r) as titles from numbered group by story_id)),
     named as (select story_id, case when {best} <= 0 then 'Other' {arms} end as category from texts)"""
 
 
@@ -383,11 +401,18 @@ def outlet_names_dropped(spark, d) -> DataFrame:
     return entities.not_outlets(names, s.select(F.col("name_en").alias("name"))).select("entity")
 
 
-@query()
+_TITLED = "array_to_string(list_transform(string_split(lower(c), ''), lambda ch, i: case when i = 1 or not regexp_matches(lower(c)[i - 1], '[a-z]') then upper(ch) else ch end), '')"
+
+
+@query(rf"""with {MEMBERS}, {_MENTIONS}, n as (select distinct entity as name from mentions union select name_en from sources union select n_name from nation union select source_name from articles where source_name is not null),
+c as (select name, trim(regexp_replace(name, '\s+', ' ', 'g'), ' ') as c from n)
+select name, case when c = '' or lower(c) in ('government', 'ministry', 'state', 'council', 'country', 'officials') then null when lower(c) = 'harbour' then 'The Harbour' when regexp_full_match(c, '[\x00-\x7F]*') then {_TITLED} else c end as entity from c""")
 def normal_entities(spark, d) -> DataFrame:
-    """Canonical entity names (title case as in Python, which SQL lacks)."""
-    lexicon = V.Lexicon(entities={"water board": "Water Board", "لجنة المياه": "Water Board"})
-    return table(spark, d, "sources").select(F.col("name_en").alias("name")).union(table(spark, d, "nation").select("n_name")).select("name", entities.normal_entity(F.col("name"), lexicon).alias("entity"))
+    """Canonical names of the entities of all stories, of sources as they are spelled, and of nations."""
+    lexicon = V.Lexicon(entities={"harbour": "The Harbour"})
+    names = _mentions(spark, d).select(F.col("entity").alias("name")).union(table(spark, d, "sources").select("name_en")).union(table(spark, d, "nation").select("n_name"))
+    names = names.union(table(spark, d, "articles").select("source_name").filter("source_name is not null")).distinct()
+    return names.select("name", entities.normal_entity(F.col("name"), lexicon).alias("entity"))
 
 
 @query("with r as (select cast(ts as date) as date, event_type || '/' || user_id as entity from events), c as (select entity, count(distinct date) as days from r group by entity having count(distinct date) >= 2) select entity, days from c order by days desc, entity limit 12")
@@ -399,52 +424,67 @@ def recurring_entities(spark, d) -> DataFrame:
 _PHRASE = r"' ' || trim(regexp_replace(lower({}), '[^a-z0-9\x{{600}}-\x{{6ff}}]+', ' ', 'g')) || ' '"
 
 
-@query(f"""with t as materialized (select {_PHRASE.format('title')} as hay from articles where title is not null),
+@query(f"""with t as materialized (select {_PHRASE.format("coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(body, '')")} as hay from articles),
 e as materialized (select distinct e as entity, {_PHRASE.format('e')} as needle from (select n_name as e from nation union select section from articles where section is not null union select 'the ' || section from articles where section is not null))
 select entity from e where trim(needle) <> '' and exists (select 1 from t where contains(hay, needle) or contains(hay, regexp_replace(needle, '^ (the|a|an) ', ' ')))""")
 def mentioned_entities(spark, d) -> DataFrame:
     a = table(spark, d, "articles")
     sections = a.select("section").filter("section is not null").distinct()
     names = table(spark, d, "nation").select(F.col("n_name").alias("entity")).union(sections).union(sections.select(F.concat(F.lit("the "), "section")))
-    return entities.mentioned(names, a.select(F.col("title").alias("text")))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return entities.mentioned(names, a.select(F.concat_ws(" ", empty("title"), empty("summary"), empty("body")).alias("text")))
 
 
-_LINKS = """
-links as (select case n_nationkey % 4 when 0 then 'Actor' when 1 then 'timeline ' when 2 then 'rumour' else 'pattern' end as type, ' s' || n_nationkey as src, 'S' || (n_nationkey * 7 % 31) as dst, case when n_nationkey % 6 = 0 then ' ' else n_name end as evidence from nation),
+_LINKS = f"""{MEMBERS},
+ordered as (select edition, story_id, lead(story_id) over (partition by edition order by story_id) as next, category from stories),
+links as (select case story_id % 4 when 0 then 'Actor' when 1 then 'timeline ' when 2 then 'rumour' else 'pattern' end as type, ' s' || story_id as src, 'S' || case when story_id % 31 = 0 then story_id else next end as dst, case when story_id % 6 = 0 then ' ' else category end as evidence from ordered),
 valid as (select lower(trim(type)) as type, upper(trim(src)) as src, upper(trim(dst)) as dst, trim(evidence) as evidence from links
   where lower(trim(type)) in ('same-thread', 'cause-effect', 'actor', 'contradiction', 'pattern', 'timeline') and trim(evidence) <> '' and upper(trim(src)) <> upper(trim(dst))
-  and upper(trim(src)) in (select 'S' || n_nationkey from nation) and upper(trim(dst)) in (select 'S' || n_nationkey from nation))"""
+  and upper(trim(src)) in (select 'S' || story_id from stories) and upper(trim(dst)) in (select 'S' || story_id from stories)),
+loose as (select lower(trim(type)) as type, upper(trim(src)) as src, upper(trim(dst)) as dst, trim(evidence) as evidence from links
+  where trim(evidence) <> '' and upper(trim(src)) in (select 'S' || story_id from stories) and upper(trim(dst)) in (select 'S' || story_id from stories)),
+t as (select 'S' || story_id as sid, title from mem qualify {_PRIMARY})"""
 
 
 def _links(spark, d) -> tuple[DataFrame, DataFrame]:
-    n = table(spark, d, "nation")
-    k = F.col("n_nationkey")
+    """Links of each story to the next of its edition, some of them faulty, and the ids of all stories."""
+    from pyspark.sql import Window as W
+
+    k = F.col("story_id")
+    rows = table(spark, d, "stories").select("story_id", "category", F.lead("story_id").over(W.partitionBy("edition").orderBy("story_id")).alias("next"))
     kind = F.when(k % 4 == 0, "Actor").when(k % 4 == 1, "timeline ").when(k % 4 == 2, "rumour").otherwise("pattern")
-    raw = n.select(kind.alias("type"), F.concat(F.lit(" s"), k).alias("src"), F.concat(F.lit("S"), k * 7 % 31).alias("dst"), F.when(k % 6 == 0, " ").otherwise(F.col("n_name")).alias("evidence"))
-    ids = n.select(F.concat(F.lit("S"), k).alias("sid"), F.when(k % 3 != 0, F.col("n_name")).alias("title"))
-    return entities.valid_links(raw, ids), ids
+    raw = rows.select(kind.alias("type"), F.concat(F.lit(" s"), k).alias("src"), F.concat(F.lit("S"), F.when(k % 31 == 0, k).otherwise(F.col("next"))).alias("dst"), F.when(k % 6 == 0, " ").otherwise(F.col("category")).alias("evidence"))
+    return raw, table(spark, d, "stories").select(F.concat(F.lit("S"), "story_id").alias("sid"))
+
+
+def _titled(spark, d) -> DataFrame:
+    return stories.primary_of(members(spark, d)).select(F.concat(F.lit("S"), "story_id").alias("sid"), F.col("primary_title").alias("title"))
 
 
 @query(f"with {_LINKS} select * from valid")
 def valid_links(spark, d) -> DataFrame:
-    return _links(spark, d)[0]
+    return entities.valid_links(*_links(spark, d))
 
 
-@query(f"with {_LINKS} select type, count(*) as n, string_agg(src || '>' || dst, ',' order by src || '>' || dst) as edges from valid group by type")
+@query(f"with {_LINKS} select * from loose")
+def renderable_links(spark, d) -> DataFrame:
+    return entities.valid_links(*_links(spark, d), strict=False)
+
+
+@query(f"with {_LINKS} select edition, type, count(*) as n, string_agg(src || '>' || dst, ',' order by src || '>' || dst) as edges from valid join (select 'S' || story_id as src, edition from stories) using (src) group by edition, type")
 def links_by_type(spark, d) -> DataFrame:
-    return entities.links_by_type(_links(spark, d)[0])
+    editions = table(spark, d, "stories").select(F.concat(F.lit("S"), "story_id").alias("src"), "edition")
+    return entities.links_by_type(entities.valid_links(*_links(spark, d)).join(editions, "src"), ("edition",))
 
 
 @query(f"with {_LINKS} select src as sid, type, dst as other from valid union all select dst, type, src from valid")
 def links_by_story(spark, d) -> DataFrame:
-    return entities.links_by_story(_links(spark, d)[0])
+    return entities.links_by_story(entities.valid_links(*_links(spark, d)))
 
 
-@query(f"""with {_LINKS}, t as (select 'S' || n_nationkey as sid, case when n_nationkey % 3 <> 0 then n_name end as title from nation)
-select src, coalesce(a.title, src) as src_title, dst, coalesce(b.title, dst) as dst_title, type from valid left join t a on a.sid = src left join t b on b.sid = dst""")
+@query(f"with {_LINKS} select src, coalesce(a.title, src) as src_title, dst, coalesce(b.title, dst) as dst_title, type from valid left join t a on a.sid = src left join t b on b.sid = dst")
 def link_titles(spark, d) -> DataFrame:
-    links, ids = _links(spark, d)
-    return entities.link_titles(links, ids)
+    return entities.link_titles(entities.valid_links(*_links(spark, d)), _titled(spark, d))
 
 
 # ---------------------------------------------------------------- memory and caches
@@ -503,12 +543,14 @@ def cache_trimmed(spark, d) -> DataFrame:
     return memory.trim_cache(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("inserted_at")), 100, 3000).select("key")
 
 
-@query("""with a as (select upper(trim(id)) as sid, arg_max(v, ord) as v from (select ' s' || (p_partkey % 40) as id, p_name as v, p_partkey as ord from part where p_partkey % 2 = 1) group by 1)
-select 'S' || n_nationkey as sid, coalesce(a.v, n_name) as answer, a.v is null as is_missing from nation left join a on a.sid = 'S' || n_nationkey""")
+@query("""with a as (select upper(trim(id)) as sid, arg_max(v, ord) as v from (select ' s' || story_id as id, story_key as v, 1 as ord from stories where story_id % 2 = 1 union all select 's' || story_id || ' ', category, 2 from stories where story_id % 3 = 1 and category is not null) group by 1)
+select 'S' || story_id as sid, coalesce(a.v, story_key) as answer, a.v is null as is_missing from stories left join a on a.sid = 'S' || story_id""")
 def answer_join(spark, d) -> DataFrame:
-    batch = table(spark, d, "nation").select(F.concat(F.lit("S"), F.col("n_nationkey")).alias("sid"), F.col("n_name").alias("own"))
-    answers = table(spark, d, "part").filter("p_partkey % 2 = 1").select(F.concat(F.lit(" s"), F.col("p_partkey") % 40).alias("id"), F.col("p_name").alias("answer"), F.col("p_partkey").alias("ord"))
-    return memory.store_answers(batch, answers, "own", "answer").select("sid", "answer", "is_missing")
+    s = table(spark, d, "stories")
+    batch = s.select(F.concat(F.lit("S"), "story_id").alias("sid"), F.col("story_key").alias("own"))
+    early = s.filter("story_id % 2 = 1").select(F.concat(F.lit(" s"), "story_id").alias("id"), F.col("story_key").alias("answer"), F.lit(1).alias("ord"))
+    late = s.filter("story_id % 3 = 1 and category is not null").select(F.concat(F.lit("s"), "story_id", F.lit(" ")).alias("id"), F.col("category").alias("answer"), F.lit(2).alias("ord"))
+    return memory.store_answers(batch, early.union(late), "own", "answer").select("sid", "answer", "is_missing")
 
 
 # ---------------------------------------------------------------- editions
@@ -542,10 +584,20 @@ def stale_rows(spark, d) -> DataFrame:
     return digest.stale_rows(o.filter("k % 5 <> 0"), o.filter("k % 3 <> 0"))
 
 
-@query()
+_OTHERS = f"oth as (select mem.story_id, string_agg(mem.title, '; ' order by mem.ord, mem.article_id) filter (q <= 4) as others from (select mem.*, row_number() over (partition by mem.story_id order by mem.ord, mem.article_id) as q from mem join prim0 using (story_id) where mem.article_id <> prim0.article_id) mem group by mem.story_id)"
+
+
+@query(f"""with {MEMBERS}, prim0 as (select * from mem qualify {_PRIMARY}), {_OTHERS},
+src as (select story_id, string_agg(source_name, ', ' order by o, source_name) as sources, count(*) as outlets from (select story_id, source_name, min(ord) as o from mem group by all) group by story_id),
+sec as (select story_id, string_agg(section, ',' order by o, section) as tags from (select *, row_number() over (partition by story_id order by o, section) as k from (select story_id, section, min(ord) as o from mem where section <> '' group by story_id, section)) where k <= 4 group by story_id),
+txt as (select story_id, lang, title, coalesce(nullif(body, ''), summary) as t, {_sentences("coalesce(nullif(body, ''), summary)")} as lead from prim0),
+cut as (select story_id, lang, title, coalesce(nullif({_truncated("lead", 420)}, ''), title) as short from txt)
+select cut.story_id, case when lang = 'en' then title else '' end as headline_en, case when lang = 'ar' then title else '' end as headline_ar, short as summary_en, case when lang = 'ar' then short else '' end as summary_ar,
+'low' as confidence, coalesce(tags, '') as tags, 'Carried by ' || outlets || ' outlet(s): ' || sources || '.' as why_it_matters_en, coalesce('Also: ' || others, '') as between_the_lines_en
+from cut join src using (story_id) left join sec using (story_id) left join oth using (story_id)""")
 def extractive_analyses(spark, d) -> DataFrame:
-    cards = _cards(spark, d).join(members(spark, d).select("story_id", F.col("article_id").alias("primary_id"), "title", "summary", "body", "lang"), ["story_id", "primary_id"])
-    return digest.extractive_analysis(cards)
+    rows = digest.extractive_analysis(members(spark, d))
+    return rows.select("story_id", "headline_en", "headline_ar", "summary_en", "summary_ar", "confidence", F.array_join("tags", ",").alias("tags"), "why_it_matters_en", "between_the_lines_en")
 
 
 @query()

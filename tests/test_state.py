@@ -17,6 +17,29 @@ def test_upsert_is_idempotent_and_bounded(spark):
     assert memory.recall(once, 2, "2026-02-01").count() == 2
 
 
+def test_one_of_several_records_of_a_date_is_the_same_always(spark):
+    old = spark.createDataFrame([], "date string, n int")
+    for order in ([1, 3, 2], [3, 2, 1]):
+        assert [r["n"] for r in memory.upsert(old, spark.createDataFrame([("2026-01-01", n) for n in order], "date string, n int")).collect()] == [3]
+
+
+def test_truthy(spark):
+    rows = spark.createDataFrame([("1", " ", 0, [], "kept"), ("2", "x", 4, ["a"], "kept")], "date string, note string, n int, names array<string>, other string")
+    assert [tuple(r) for r in memory.truthy(rows, ["note", "n", "names"]).orderBy("date").collect()] == [("1", None, None, None), ("2", "x", 4, ["a"])]
+
+
+def test_a_writer_that_died_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    memory.replace_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert memory.read_state(spark, path).count() == 3
+    memory.replace_table(memory.read_state(spark, path), path)
+    assert memory.read_state(spark, path).count() == 3 and not (tmp_path / "t.old").exists()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("junk")
+    assert memory.load_cache(spark, str(tmp_path / "bad"), "key string").count() == memory.load_cache(spark, str(tmp_path / "none"), "key string").count() == 0
+
+
 def test_replace_table_from_itself(spark, tmp_path):
     path = str(tmp_path / "t")
     memory.replace_table(spark.range(3), path)

@@ -18,9 +18,12 @@ def tokens(title):
     return {w for w in words if w not in STOP and (len(w) > 1 or w.isdigit())}
 
 
+def headline(lang, title, url=None):
+    return clustering.Headline(frozenset(tokens(title)), frozenset(tokens(title) - COMMON), lang, url)
+
+
 def threads(titles):
-    items = [(tokens(t), tokens(t) - COMMON, lang) for lang, t in titles]
-    return [sorted(c) for c in clustering.thread(items)]
+    return [sorted(c) for c in clustering.thread([headline(*t) for t in titles])]
 
 
 def test_merges_and_vetoes():
@@ -31,20 +34,35 @@ def test_merges_and_vetoes():
     assert threads([("en", "Two killed in Qasvek tunnel blaze"), ("en", "Blaze in Qasvek tunnel: two killed")]) == [[0, 1]]
 
 
+def words(text, lang):
+    return clustering.Headline(frozenset(text.split()), frozenset(text.split()), lang)
+
+
 def test_bridge_joins_languages_only():
-    a = ({"qasvek", "harbour", "12"}, {"qasvek", "harbour", "12"}, "ar")
-    b = ({"qasvek", "harbour", "fire", "ship", "12"}, {"qasvek", "harbour", "fire", "ship", "12"}, "en")
-    far = ({"x", "y"}, {"x", "y"}, "en")
-    assert [sorted(c) for c in clustering.thread([a, b, far], threshold=0.9999)] in ([[0, 1], [2]],)
-    assert [sorted(c) for c in clustering.thread([a, (b[0] - {"12", "harbour"}, b[1] - {"12", "harbour"}, "en")])] == [[0], [1]]
+    a, b, far = words("qasvek harbour 12", "ar"), words("qasvek harbour fire ship 12", "en"), words("x y", "en")
+    assert [sorted(c) for c in clustering.thread([a, b, far], threshold=0.9999)] == [[0, 1], [2]]
+    assert threads([("ar", "ميناء قصفيك يفتح"), ("en", "Qasvek harbour opens")]) == [[0], [1]]
+    # one shared word is not enough, and one language never bridges
+    assert [sorted(c) for c in clustering.thread([a, words("qasvek fire ship", "en")])] == [[0], [1]]
+    assert [sorted(c) for c in clustering.thread([words("a b c d e f g", "en"), words("a b x y z v w", "en")])] == [[0], [1]]
+    # all that fit are folded into the best of them
+    many = [words("a b c d e f g h", "ar"), words("a b i j k", "en"), words("c d e l m n o p", "fr")]
+    assert [sorted(c) for c in clustering.thread(many)] == [[0, 1, 2]]
+
+
+def test_articles_of_one_address_count_once():
+    rows = [("en", "Fire destroys harbour warehouse in Qasvek", "u1"), ("en", "Harbour warehouse in Qasvek destroyed by fire", "u1"), ("en", "Qasvek harbour warehouse fire", "u2")]
+    assert threads(rows) == [[0, 2]]
+
+
+def test_shared_boilerplate_and_single_anchors_stay_apart():
+    assert threads([("en", "Kuwait oil price rises to nine florins a barrel"), ("en", "Kuwait gold price falls ahead of harbour data")]) == [[0], [1]]
+    assert threads([("en", "Two killed in blaze at Qasvek mill"), ("en", "Blaze at Qasvek mill put out")]) == [[0, 1]]
 
 
 def test_every_article_once():
     rng = random.Random(2)
-    items = []
-    for _ in range(200):
-        toks = {rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randint(1, 6))}
-        items.append((toks, toks, rng.choice(["ar", "en"])))
+    items = [words(" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randint(1, 6))), rng.choice(["ar", "en"])) for _ in range(200)]
     assert sorted(itertools.chain(*clustering.thread(items))) == list(range(200))
 
 
@@ -57,13 +75,39 @@ def _titles(spark):
 
 def test_edges_equal_brute_force(spark):
     frame, rows = _titles(spark)
-    got = {(r["src"], r["dst"]): r["score"] for r in similarity.same_story_edges(similarity.tokenised(frame)).collect()}
+    classes, membership = similarity.headline_classes(similarity.tokenised(frame))
+    of = {r["article_id"]: r["class_id"] for r in membership.collect()}
+    got = {(r["src"], r["dst"]): r["score"] for r in similarity.same_story_edges(classes).collect()}
     want = {}
-    for (e, a, _, s), (f, b, _, t) in itertools.combinations(rows, 2):
+    for (e, a, k, s), (f, b, l, t) in itertools.combinations(rows, 2):
         x, y = tokens(s), tokens(t)
         if e == f and x and y and len(x & y) / min(len(x), len(y)) >= 0.5 and len((x & y) - COMMON) >= 2:
-            want[a, b] = round(len(x & y) / min(len(x), len(y)), 6)
-    assert got == want and want
+            if of[a] == of[b]:
+                assert x == y and k == l
+            else:
+                want[tuple(sorted((of[a], of[b])))] = round(len(x & y) / min(len(x), len(y)), 6)
+    assert got == want and want and set(of) == {a for _, a, _, s in rows if tokens(s)}
+
+
+def test_copies_are_one_class(spark):
+    """A line carried a hundred thousand times gives no pairs of copies."""
+    wire = spark.range(100_000).select(F.lit(dt.date(2026, 1, 1)).alias("edition"), F.col("id").alias("article_id"), F.lit("en").alias("lang"), F.lit("Harbour ferry collides with pearl silo").alias("title"))
+    other = spark.createDataFrame([(dt.date(2026, 1, 1), 200_000, "en", "Ferry collides with silo at harbour"), (dt.date(2026, 1, 1), 200_001, "en", "Rain"), (dt.date(2026, 1, 1), 200_002, "en", "Rain")], wire.schema)
+    classes, membership = similarity.headline_classes(similarity.tokenised(wire.union(other)))
+    edges = similarity.same_story_edges(classes)
+    assert classes.count() == 3 and edges.count() == 1
+    found = clustering.graph_stories(classes, membership, edges)
+    sizes = sorted(r["count"] for r in found.groupBy("story_id").count().collect())
+    assert sizes == [1, 1, 100_001]
+
+
+def test_best_pair_equals_brute_force(spark):
+    rng = random.Random(8)
+    groups = {g: [frozenset(rng.sample("abcdefghijklmnopqrst", rng.randint(0, 5 if g % 2 else 9))) for _ in range(rng.randint(1, 6))] for g in range(60)}
+    rows = [(g, i, sorted(s)) for g, sets in groups.items() for i, s in enumerate(sets)]
+    got = {r["edition"]: round(r["best"], 6) for r in similarity.best_pair(spark.createDataFrame(rows, "edition int, article_id int, toks array<string>")).collect()}
+    score = lambda a, b: max(len(a & b) / len(a | b), 0.9 * len(a & b) / min(len(a), len(b))) if a and b else 0.0
+    assert got == {g: round(max(score(a, b) for a, b in itertools.combinations(sets, 2)), 6) for g, sets in groups.items() if len(sets) > 1}
 
 
 def test_components_equal_union_find(spark):
@@ -107,7 +151,7 @@ def test_aggregates_with_nulls(spark):
 
 def test_exact_stories_run_on_editions(spark):
     frame, rows = _titles(spark)
-    times = frame.select("article_id", F.lit(None).cast("timestamp").alias("published"), F.col("article_id").alias("pos"))
+    times = frame.select("article_id", F.lit(None).cast("timestamp").alias("published"), F.col("article_id").alias("pos"), F.lit(None).cast("string").alias("url"))
     got = clustering.exact_stories(similarity.tokenised(frame, Lexicon()), times).collect()
     assert len({r["article_id"] for r in got}) == len(got) == sum(bool(tokens(t)) for *_, t in rows)
 
@@ -123,3 +167,37 @@ def test_synthesis_of_every_edition(spark):
 def test_synthesis_query_covers_the_editions_of_the_markdown(spark, small):
     editions = lambda q: sorted(repr(r[0]) for r in q(spark, small).select("edition").collect())
     assert editions(reference.extractive_synthesis) == editions(reference.edition_markdown)
+
+
+def test_categories(spark):
+    """Written by hand: sections count once for a story, keywords of every language are normal forms."""
+    member = lambda story, ord_, title, section: (story, ord_, 100 * story + ord_, "a", "A", "en", title, f"u{ord_}", section, "", "", None, 1)
+    rows = [
+        *[member(1, i, "Rain today", "local") for i in range(6)], member(1, 6, "Rain today", "sport"),  # 0.4 once against 1.5
+        member(2, 0, "حكم من محكمة في قصفيك", None), member(3, 0, "إدارة جديدة", ""), member(4, 0, "مكتبة ليلية", "x"),
+        member(5, 0, "Council and museum", "culture"), member(6, 0, "Councils", None), member(7, 0, "councilman speaks", None),
+        member(8, 0, "Rain", "front-page"), member(8, 1, "Rain", "opinion"), member(9, 0, None, None),
+        *[member(10, i, "Rain", None) for i in range(6)], member(10, 6, "museum", None),
+        member(11, 0, "Coast", None), member(11, 1, "guard", None),
+    ]
+    got = {r["story_id"]: r["category"] for r in stories.categories(spark.createDataFrame(rows, MEMBER)).collect()}
+    assert got == {
+        1: "Sport", 2: "Security & Courts", 3: "Government & Politics", 4: "Culture & Entertainment", 5: "Culture & Entertainment", 6: "Government & Politics",
+        7: "Other", 8: "Government & Politics", 9: "Other", 10: "Other", 11: "Security & Courts",
+    }
+
+
+def test_one_story_holds_most_rows(spark):
+    rows = [(1 if i % 3 else i, i, i, f"s{i % 40}", f"S{i % 40}", "en", f"Ferry {i} delayed", f"u{i}", "sport" if i % 7 else "local", "", "", None, i % 3 + 1) for i in range(6000)]
+    m = spark.createDataFrame(rows, MEMBER)
+    score = stories.story_scores(m, dt.datetime(2026, 1, 1)).filter("story_id = 1").collect()[0]
+    assert score["outlet_count"] == 40
+    assert stories.categories(m).filter("story_id = 1").collect()[0]["category"] == "Sport"
+
+
+def test_extractive_analysis(spark):
+    m = spark.createDataFrame([(1, 0, 10, "a", "A", "en", "Head", "u1", "sport", "", "One. Two! Three? Four.", None, 1), (1, 1, 11, "b", "B", "ar", "عنوان", "u2", "local", "s", "", None, 2), (2, 0, 12, "a", "A", "ar", "عنوان", "u3", "", None, None, None, 1)], MEMBER)
+    got = {r["story_id"]: r for r in digest.extractive_analysis(m).collect()}
+    assert (got[1]["headline_en"], got[1]["headline_ar"], got[1]["summary_en"], got[1]["summary_ar"]) == ("Head", "", "One. Two! Three?", "")
+    assert (got[1]["confidence"], got[1]["tags"], got[1]["between_the_lines_en"]) == ("low", ["sport", "local"], "Also: عنوان")
+    assert (got[2]["summary_en"], got[2]["summary_ar"], got[2]["tags"]) == ("عنوان", "عنوان", [])
