@@ -4,7 +4,8 @@ Greedy string tiling with Karp-Rabin hashes: windows of `min_words` words of all
 hashes; the windows of a batch of documents are hashed at once, and those found in the table are the shared-token
 seeds. For each document and item with a seed, seeds are verified word by word, joined to maximal matches along
 their diagonal, and the longest ones are marked one after the other without overlap. Reordered passages give
-several tiles; coverage is the share of the item's words under tiles.
+several tiles; coverage is the share of the item's words under tiles. A leak is a tile of MIN_WORDS words, or, where an item
+was cut up and shuffled, tiles of TILE_WORDS words or more that cover COVERAGE of it.
 
 Items are the query set: they are sent to the workers in blocks of a bounded number of words, whatever their
 number; documents are read once for each block and never shuffled.
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 13
+#: Shortest tiles of shuffled passages, and the share of the item's words that they must cover.
+TILE_WORDS, COVERAGE = 5, 0.5
 #: Words of items in one broadcast block (about 100 bytes each in a worker).
 BLOCK_WORDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -148,6 +151,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
     return out
 
 
+def covered_items(documents: DataFrame, items: DataFrame, tile_words: int = TILE_WORDS, coverage: float = COVERAGE) -> DataFrame:
+    """leaked_items with its tiles of at least `tile_words` words, and the share of the item they cover; rows below `coverage` are left
+    out unless a tile alone has MIN_WORDS words."""
+    share = F.col("covered") / F.col("item_words")
+    rows = leaked_items(documents, items, tile_words)
+    return rows.withColumn("coverage", F.round(share, 6)).filter((share >= coverage) | (F.col("longest") >= MIN_WORDS))
+
+
 def leaks_found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of documents that hold at least 13 consecutive words of an item."""
     return leaked_items(documents, items).select("doc_id", "item_id").distinct()

@@ -36,13 +36,13 @@ _ARABIC, _PERSIAN = "يىك٠١٢٣٧٨٩", "ییک۰۱۲۳۷۸۹"
 def _tables() -> dict:
     """Character tables by rule: what to delete, what to make a space, and single forms of presentation forms."""
     compat: dict[int, str] = {}
-    wanted = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>")
-    for lo, hi in ((0xFB00, 0xFE00), (0xFE70, 0xFF00), (0xFF00, 0xFFEF), (0x1D400, 0x1D800), (0x2100, 0x2150), (0x0132, 0x0134), (0x01C4, 0x01F4), (0x0675, 0x0679), (0x10780, 0x107C0)):
+    wanted = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>", "<small>", "<vertical>")
+    for lo, hi in ((0xFB00, 0xFE00), (0xFE10, 0xFE1A), (0xFE30, 0xFE70), (0xFE70, 0xFF00), (0xFF00, 0xFFEF), (0x1D400, 0x1D800), (0x2100, 0x2150), (0x0132, 0x0134), (0x01C4, 0x01F4), (0x0675, 0x0679), (0x10780, 0x107C0)):
         for code in range(lo, hi):
             kind = unicodedata.decomposition(chr(code)).split(" ")[0]
             if kind in wanted or (kind == "<compat>" and not 0x2100 <= code < 0x2150):
                 compat[code] = unicodedata.normalize("NFKC", chr(code))
-    invisible = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, 0xFEFF, 0xFFA0]
+    invisible = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xE0100, 0xE01F0)]
     spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     return {"compat": compat, "invisible": invisible, "spaces": spaces}
 
@@ -139,10 +139,20 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
     others_of: dict[str, list[str]] = {}
     for other, latin in latin_of.items():
         others_of.setdefault(latin, []).append(other)
-    latin_models = [models[x] for x in sorted(models) if x not in ("ar", "fa") and not x.endswith("~")]
+    # a model scores paths in the alphabet that most of its letters are of; an alphabet without any is flat
     flat = Bigrams([])
-    by_alphabet = {"L": latin_models or [flat], "C": [flat], "G": [flat]}
-    ar, fa, own_arabic = models["ar~"], models["fa~"], models.get("ar", flat)
+    by_alphabet: dict[str, list[Bigrams]] = {}
+    for x in sorted(models):
+        kinds = Counter()
+        for ch, n in models[x].firsts.items():
+            kinds[_script(ch)] += n if _script(ch) else 0
+        if kinds and not x.endswith("~"):
+            by_alphabet.setdefault(kinds.most_common(1)[0][0], []).append(models[x])
+    by_alphabet = {a: by_alphabet.get(a) or [flat] for a in "LCG"}
+    ar, fa = models["ar~"], models["fa~"]
+    own = {False: models.get("ar", flat), True: models.get("fa", flat)}
+    # what a look-alike of the other language may be in this one
+    columns = {False: {"ی": ["ي", "ى"], "ک": ["ك"]}, True: {"ي": ["ی"], "ى": ["ی"], "ك": ["ک"]}}
     ratio: dict[str, float] = {}
 
     def fresh_lean(word: str) -> float:
@@ -179,15 +189,13 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
         """Letters and digits of the language that the whole value is in."""
 
         def letters(match: re.Match) -> str:
-            word = match.group()
-            if persian:
-                return word.translate(to_persian)
-            word = word.replace("‌", "")
-            if "ی" not in word and "ک" not in word:
+            word, column = match.group(), columns[persian]
+            if not persian:
+                word = word.replace("‌", "")
+            if column.keys().isdisjoint(word):
                 return word
-            column = {"ی": ["ي", "ى"], "ک": ["ك"]}
             options = [[("A", y) for y in column.get(ch, [ch])] for ch in word]
-            return viterbi(options, {"A": [own_arabic]}, lambda at, ch: 0.0) or word
+            return viterbi(options, {"A": [own[persian]]}, lambda at, ch: 0.0) or word
 
         out = re.sub(r"[ء-غف-يٱ-ۓ](?:[ء-غـ-ٰٟ-ۓ‌]*[ء-غـ-ٰٟ-ۓ])?", letters, text)
         look = re.compile("[٠١٢٣٧٨٩]" if persian else "[۰۱۲۳۷۸۹]").search
@@ -209,11 +217,23 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
     return normalise
 
 
+def mixes_alphabets(text: str) -> bool:
+    """Whether a word holds letters of two of the Latin, Greek and Cyrillic alphabets, for which no path in one alphabet was found."""
+    if text.isascii() or not _GREEK_CYRILLIC(text):
+        return False
+    return any(len({s for s in map(_script, word) if s in ("L", "G", "C")}) > 1 for word in _WORDS(text))
+
+
+_GREEK_CYRILLIC = re.compile("[\u0370-\u052f\u1f00-\u1fff]").search
+_WORDS = re.compile(r"[^\W_\d]+").findall
+
+
 def _apply(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         normalise = make_normaliser(fit_models(shared.value))
         for batch in batches:
-            yield pd.DataFrame({"article_id": batch["article_id"], "field": batch["field"], "value": batch["value"], "text": [normalise(v) for v in batch["value"]]})
+            texts = [normalise(v) for v in batch["value"]]
+            yield pd.DataFrame({"article_id": batch["article_id"], "field": batch["field"], "value": batch["value"], "text": texts, "is_mixed": [mixes_alphabets(t) for t in texts]})
 
     return run
 
@@ -228,7 +248,8 @@ def labelled_samples(samples: DataFrame, most: int = MAX_SAMPLES) -> list[tuple[
 
 
 def consistent_forms(articles: DataFrame, samples: DataFrame) -> DataFrame:
-    """(article_id, field, value, text): each title and summary with a character beyond ASCII, and its consistent form.
+    """(article_id, field, value, text, is_mixed): each title and summary with a character beyond ASCII, and its consistent form;
+    is_mixed: a word mixes alphabets and could not be brought to one.
 
     Null and empty values and values of ASCII only are their own form and have no row. Repeated rows give repeated
     rows; extra columns are not read; without samples the models are flat and Arabic counts as Arabic; an empty
@@ -238,9 +259,9 @@ def consistent_forms(articles: DataFrame, samples: DataFrame) -> DataFrame:
     long = articles.select("article_id", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("summary")), F.array("title", "summary"))).alias("field", "value"))
     rows = long.filter(F.col("article_id").isNotNull() & F.col("value").rlike("[^\\x00-\\x7F]"))
     shared = spark.sparkContext.broadcast(labelled_samples(samples))
-    return rows.mapInPandas(_apply(shared), "article_id bigint, field string, value string, text string")
+    return rows.mapInPandas(_apply(shared), "article_id bigint, field string, value string, text string, is_mixed boolean")
 
 
 def lookalikes_found(articles: DataFrame, samples: DataFrame) -> DataFrame:
     """(article_id, field) of values that hold characters to be replaced or deleted."""
-    return consistent_forms(articles, samples).filter("text <> value").select("article_id", "field").distinct()
+    return consistent_forms(articles, samples).filter("text <> value or is_mixed").select("article_id", "field").distinct()

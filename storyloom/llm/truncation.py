@@ -39,14 +39,20 @@ def _stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
-def _shape(articles: DataFrame) -> DataFrame:
-    """Each non-blank summary with its lengths and the kind of its end."""
-    rows = articles.select("article_id", "source_id", "title", F.col("summary").alias("value"), "body").filter("article_id is not null and summary is not null")
+def _open_tag(text: Column) -> Column:
+    """Whether a tag with an attribute is open at the end, however long it is."""
+    last = F.substring_index(text, "<", -1)
+    return F.contains(text, F.lit("<")) & ~F.contains(last, F.lit(">")) & F.contains(last, F.lit("=")) & last.rlike("^[A-Za-z]+\\s")
+
+
+def _shape(articles: DataFrame, column: str = "summary") -> DataFrame:
+    """Each non-blank value of a column with its lengths and the kind of its end."""
+    rows = articles.select("article_id", "source_id", "title", F.col(column).alias("value"), "body").filter(F.col("article_id").isNotNull() & F.col(column).isNotNull())
     rows = rows.withColumn("text", _stripped(F.col("value"))).filter("text <> ''")
     end = F.right(F.col("text"), F.lit(_TAIL))
     kind = (
         F.when(end.rlike(_MARK), "mark")
-        .when(end.rlike(_BROKEN), "broken")
+        .when(end.rlike(_BROKEN) | _open_tag(F.col("text")), "broken")
         .when(end.rlike(_DOTS), "dots")
         .when(end.rlike(_ENDED), "ended")
         .otherwise("open")
@@ -59,39 +65,61 @@ def _is_title() -> Column:
     return F.lower(_stripped(F.coalesce("title", F.lit("")))) == F.lower(F.col("text"))
 
 
-def length_spikes(articles: DataFrame, least: int = 8, factor: float = 6.0) -> DataFrame:
-    """(source_id, unit, kind, lo, hi, n): limits that a source's summaries show, in characters or bytes.
+def find_spikes(histogram, least: int, factor: float) -> list[tuple[int, int, int]]:
+    """(lo, hi, n) of the spikes of a histogram of lengths, the highest limit first.
 
-    For the values of one kind of end the histogram of lengths is searched for its densest window of _WINDOW lengths;
-    it is a spike if it holds at least `least` values and `factor` times what its share of the longer half of the
-    histogram would hold. A window whose single length dominates is narrowed to it. One row at most for each source,
-    unit and kind; histograms are aggregated before anything is gathered, and have as many bins as lengths.
+    The densest window of _WINDOW lengths is a spike if it holds at least `least` values and `factor` times what an even spread of
+    all others over the lengths in use would put there. It is taken out, and the rest is searched again, so that a source
+    with several limits shows each. A window whose single length dominates is narrowed to it.
     """
-    rows = _shape(articles).filter(F.col("kind").isin("open", "dots", "mark")).filter("source_id is not null").filter(~_is_title())
-    long = rows.select("source_id", "kind", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
-    bins = long.groupBy("source_id", "unit", "kind", "length").agg(F.count("*").alias("n"))
+    import numpy as np
 
-    def search(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        columns = ["source_id", "unit", "kind", "lo", "hi", "n"]
-        top = int(pdf["length"].max())
-        histogram = np.zeros(top + 1)
-        np.add.at(histogram, pdf["length"].to_numpy(), pdf["n"].to_numpy())
-        sums = np.convolve(histogram, np.ones(_WINDOW), "valid") if top + 1 >= _WINDOW else np.array([histogram.sum()])
+    histogram, found = histogram.copy(), []
+    while histogram.any():
+        top, low = int(np.flatnonzero(histogram).max()), int(np.flatnonzero(histogram).min())
+        sums = np.convolve(histogram, np.ones(_WINDOW), "valid") if len(histogram) >= _WINDOW else np.array([histogram.sum()])
         at = int(sums.argmax())
         n, all_ = float(sums[at]), float(histogram.sum())
-        # what an even spread over the lengths in use would put in the window
-        used = max(int(top - pdf["length"].min()) + 1, _WINDOW)
+        used = max(top - low + 1, _WINDOW)
         if n < least or n < factor * (all_ - n + 1) * _WINDOW / used:
-            return pd.DataFrame([], columns=columns)
+            break
         window = histogram[at : at + _WINDOW]
         peak = int(window.argmax())
         if window[peak] >= 0.6 * n:
-            return pd.DataFrame([(*keys, at + peak, at + peak, int(window[peak]))], columns=columns)
-        return pd.DataFrame([(*keys, at, min(at + _WINDOW - 1, top), int(n))], columns=columns)
+            found.append((at + peak, at + peak, int(window[peak])))
+        else:
+            found.append((at, min(at + _WINDOW - 1, top), int(n)))
+        histogram[at : at + _WINDOW] = 0
+    return sorted(found, reverse=True)
+
+
+def length_spikes(articles: DataFrame, column: str = "summary", least: int = 8, factor: float = 6.0) -> DataFrame:
+    """(source_id, unit, kind, lo, hi, n, share_above): limits that a source's values of a column show, in characters or bytes.
+
+    One histogram for each source, unit and kind of end, see find_spikes; share_above is the share of the values that are longer: near
+    0 where the spike is at the maximum. Histograms are aggregated before anything is gathered, and have as many bins as lengths.
+    """
+    rows = _shape(articles, column).filter(F.col("kind").isin("open", "dots", "mark")).filter("source_id is not null")
+    if column != "title":
+        rows = rows.filter(~_is_title())
+    long = rows.select("source_id", "kind", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
+    bins = long.groupBy("source_id", "unit", "kind", "length").agg(F.count("*").alias("n"))
+
+    def search(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        histogram = np.zeros(int(pdf["length"].max()) + 1)
+        np.add.at(histogram, pdf["length"].to_numpy(), pdf["n"].to_numpy())
+        found = [(*keys, lo, hi, n, float(histogram[hi + 1 :].sum() / histogram.sum())) for lo, hi, n in find_spikes(histogram, least, factor)]
+        return pd.DataFrame(found, columns=["source_id", "unit", "kind", "lo", "hi", "n", "share_above"])
+
+    return bins.groupBy("source_id", "unit", "kind").applyInPandas(search, "source_id string, unit string, kind string, lo int, hi int, n bigint, share_above double")
+
 
-    return bins.groupBy("source_id", "unit", "kind").applyInPandas(search, "source_id string, unit string, kind string, lo int, hi int, n bigint")
+def spikes_of_columns(articles: DataFrame) -> DataFrame:
+    """length_spikes of titles, summaries and bodies: (column, ...)."""
+    parts = [length_spikes(articles, c).withColumn("column", F.lit(c)) for c in ("title", "summary", "body")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _words(text: Column) -> Column:
@@ -158,7 +186,7 @@ def make_continuation() -> Callable[[str, str, str | None], str]:
             return "unknown"
         # the same words may stand in several places: the cut is one that goes on everywhere
         kinds = []
-        while at >= 0 and len(kinds) < 20:
+        while at >= 0:
             rest = whole[at + len(tail) : at + len(tail) + 3]
             if not rest or rest.startswith((" \x00", "\x00")) or rest[0] in ".!?؟":
                 kinds.append("end")
@@ -166,7 +194,7 @@ def make_continuation() -> Callable[[str, str, str | None], str]:
                 kinds.append("end" if len(rest) < 2 or rest[1] != " " else "sentence")
             else:
                 kinds.append("word" if rest[0].isalnum() else "sentence")
-            at = whole.find(tail, at + 1)
+            at = whole.find(tail, at + len(tail))
         if short and "word" not in kinds:
             return "unknown"  # so few characters may stand elsewhere in the body
         return "end" if "end" in kinds else kinds[0]

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import repeated_lines as R
 from storyloom.llm import survivors as S
@@ -66,8 +67,26 @@ def test_repeated_lines_equal_brute_force(spark):
     got = {tuple(r) for r in R.repeated_lines_found(frame).collect()}
     assert got == brute([r for r in rows if r[0] is not None and r[1] is not None]) and got
     assert R.repeated_lines_found(frame.limit(0)).count() == 0
-    clean = {r["article_id"]: r for r in R.bodies_without_repeated_lines(frame).collect()}
-    assert clean[1000]["body"] == "" and clean[1000]["n_removed"] == 3 and clean[2000]["body"] is None
-    # copies of one document are one cluster
-    counts = {r["n_articles"]: r["n_clusters"] for r in R.line_counts(frame).filter("n_articles = 12").collect()}
-    assert counts.get(12) == 1
+
+
+def test_republished_articles_are_no_boilerplate(spark, sources):
+    """One press release, carried by a source twelve times over many days with changing frames, stays; what frames all articles goes."""
+    rng = random.Random(5)
+    release = ["The harbour office announced a new timetable for all its ferries.", "It will hold from the first of May, a spokesman said on Monday.", "Tickets are sold at the old prices until then."]
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    rows = []
+    for i in range(60):
+        own = release if i < 12 else [f"Own text {word()} of an article about {word()} things in the town.", f"And a second line, {word()}."]
+        rows.append(article(i, "a", "\n".join([f"Share {i}", *own, "Legal note of the paper, all rights reserved by its owner and by nobody else.", *(["By our desk"] if i % 2 else [])]), f"2026-01-{i % 28 + 1:02d}"))
+    rows += [article(100, "a", None), article(101, "a", " \n "), article(102, None, "x"), article(103, "b", "only")]
+    frame = spark.createDataFrame(rows, ARTICLE)
+    clean = {r["article_id"]: r for r in R.bodies_without_repeated_lines(frame, sources).collect()}
+    assert all(clean[i]["body"] == "\n".join(release) for i in range(12))
+    assert all("Legal" not in clean[i]["body"] and "Own text" in clean[i]["body"] for i in range(12, 60))
+    assert clean[100]["body"] is None and clean[101]["body"] == " \n " and clean[103]["n_removed"] == 0
+    # by articles alone the release counts as repeated
+    assert (0, 2) in {tuple(r) for r in R.repeated_lines_found(frame).collect()}
+    # lines of one day are no boilerplate of the source
+    same_day = frame.withColumn("published", F.lit("2026-01-01"))
+    assert R.boilerplate_lines(same_day, sources).count() == 0
+    assert R.bodies_without_repeated_lines(frame.limit(0), sources).count() == 0

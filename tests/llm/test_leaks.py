@@ -53,3 +53,18 @@ def test_very_long_text(spark):
     item = " ".join(f"k{i}" for i in range(20))
     frame = spark.createDataFrame([(1, "word " * 60_000 + item, "x")], DOC)
     assert L.leaks_found(frame, spark.createDataFrame([(7, "s", item)], ITEM)).collect()[0][1] == 7
+
+
+def test_shuffled_pieces_are_found_by_coverage(spark):
+    """An item cut into pieces of eight words, in another order: no piece is long, together they cover it."""
+    rng = random.Random(9)
+    item = [f"k{i}" for i in range(64)]
+    pieces = [item[i : i + 8] for i in range(0, 64, 8)]
+    rng.shuffle(pieces)
+    shuffled = " filler words between ".join(" ".join(p) for p in pieces)
+    rows = [(1, shuffled, "x"), (2, " ".join(item[:8]) + " and other words", "x"), (3, " ".join(item[:20]), "x"), (4, None, "x")]
+    frame, query = spark.createDataFrame(rows, DOC), spark.createDataFrame([(7, "s", " ".join(item)), (8, "s", "")], ITEM)
+    got = {r["doc_id"]: r for r in L.covered_items(frame, query).collect()}
+    assert set(got) == {1, 3} and got[1]["coverage"] == 1.0 and got[1]["reordered"] and got[1]["tiles"] == 8
+    assert {r["doc_id"] for r in L.leaks_found(frame, query).collect()} == {3}
+    assert {r["doc_id"] for r in L.covered_items(frame, query, coverage=0.1).collect()} == {1, 2, 3}

@@ -38,12 +38,25 @@ def test_consistent_forms(normalise):
         "گفت که قيمت‌ها از بهار پایین آمده است": "گفت که قیمت‌ها از بهار پایین آمده است",
         "سجلوا ۱۲ طلبا في الانتظار": "سجلوا ١٢ طلبا في الانتظار",
         "ﺍﻟﺮﺑﻴﻊ في الشتاء": "الربيع في الشتاء",
+        "so﹖ yes︀": "so? yes",
     }
     assert {k: normalise(k) for k in cases} == cases
     for value in cases.values():
         assert normalise(value) == value
 
 
+def test_alphabets_have_their_own_models(pairs):
+    """A Russian model scores Cyrillic paths, and leaves the Latin ones to the others."""
+    russian = [("ru", x) for x in "мост через реку открыт вечером в понедельник|совет сказал что город построит новый порт|рыбаки вернулись домой".split("|")] * 30
+    normalise = K.make_normaliser(K.fit_models([*pairs, *russian]))
+    assert normalise("мoст чеpез реку") == "мост через реку" and normalise("wаtеr роwеr") == "water power"
+    assert normalise("گفت که قيمت‌ها از بهار پایین آمده اسك") == "گفت که قیمت‌ها از بهار پایین آمده اسک"
+
+
+def test_words_without_a_path_are_reported():
+    assert K.mixes_alphabets("a wordж here") and not K.mixes_alphabets("слово and word") and not K.mixes_alphabets("25 µm") and not K.mixes_alphabets("日本語text")
+
+
 def test_forms_of_tables(spark, samples):
     rows = spark.createDataFrame([(1, None, ""), (2, "ｘ", "ok"), (2, "ｘ", "ok"), (None, "ｘ", None), (3, "é" * 30_000, "a​b")], "article_id bigint, title string, summary string").selectExpr("*", "'x' as field")
     assert {tuple(r) for r in K.lookalikes_found(rows, samples).collect()} == {(2, "title"), (3, "summary")}
@@ -190,3 +203,22 @@ def test_truncated_summaries(spark):
     shares = {r["source_id"]: r["share"] for r in T.truncation_by_source(frame).collect()}
     assert 0.4 < shares["cut"] < 0.6
     assert T.truncated_found(frame.limit(0)).count() == 0
+
+
+def test_every_limit_of_a_source_shows():
+    import numpy as np
+
+    histogram = np.zeros(400)
+    histogram[100:300] = 1
+    histogram[160] += 200
+    histogram[280] += 150
+    assert [x[:2] for x in T.find_spikes(histogram, 8, 6.0)] == [(280, 280), (160, 160)]
+    assert T.find_spikes(np.ones(400), 8, 6.0) == [] and T.find_spikes(np.zeros(5), 8, 6.0) == []
+
+
+def test_long_open_tags_and_late_places(spark):
+    body = "families needed a clear answer " * 40 + "families needed a clear answer."
+    rows = [(1, "x", "t", 'See <a href="https://long.example/' + "a" * 200, None), (2, "x", "t", "the families needed a clear answer", "the " + body), (3, "x", "t", "x < y and more of it.", None)]
+    frame = spark.createDataFrame(rows, "article_id bigint, source_id string, title string, summary string, body string")
+    assert {r[0] for r in T.truncated_found(frame).collect()} == {1, 2}
+    assert T.spikes_of_columns(frame).columns[-1] == "column"
