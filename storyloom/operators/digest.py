@@ -152,3 +152,57 @@ def themes(synthesis: DataFrame) -> DataFrame:
     """(edition, pos, theme, story_ids, note): the labelled themes of an edition's synthesis; top_themes is an array of structs (P-20)."""
     rows = synthesis.select("edition", F.posexplode("top_themes").alias("pos", "t")).filter("t is not null")
     return rows.select("edition", "pos", F.trim("t.theme").alias("theme"), "t.story_ids", "t.note").filter("theme <> ''")
+
+
+def edition_cards(ranking: DataFrame, members: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(rank, story_id, category, score, outlet_count, title, analysis fields, references): what a page shows of each story.
+
+    References are the story's articles by tier, outlet and title (T-12); stories without analysis have nulls (J-11).
+    """
+    titles = primary_of(members).select("story_id", F.col("primary_title").alias("title"))
+    part = F.struct("pos", F.struct("source_name", "title", "url").alias("a"))
+    refs = reference_order(members, "story_id").groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["a"]).alias("references"))
+    rows = with_analyses(ranking.join(titles, "story_id"), analyses.drop("entities", "tags", "_source"))
+    return rows.join(refs, "story_id").withColumn("score", F.round("score", 3))
+
+
+def _escaped(text: str | None) -> str:
+    import re
+
+    return re.sub(r"\s+", " ", re.sub(r"([\\`*_\[\]<>|])", r"\\\1", text or ""))
+
+
+def markdown_page(edition: dict) -> str:
+    """The Markdown of one edition (K-9): figures, note, glance by category and outlet, stories with references, index."""
+    s, stories = edition["stats"], edition["stories"]
+    out = [f"# {edition['date']}", f"{s['total_articles']} articles, {s['outlets_reporting']} outlets, {s['total_stories']} stories, {s['major_stories']} major."]
+    if note := (edition.get("synthesis") or {}).get("editor_note_en"):
+        out.append(note)
+    out.append("## At a glance\n\n" + "\n".join([f"- {name}: {n}" for name, n in edition["categories"].items()] + [f"- {_escaped(name)}: {n}" for name, n in list(edition["outlets"].items())[:6]]))
+    for story in stories:
+        if story.get("confidence"):
+            refs = "\n".join(f"- {_escaped(r['source_name'])}: [{_escaped(r['title'])}]({r['url']})" for r in story["references"])
+            out.append(f"## {story['rank']}. {_escaped(story['title'])}\n\n*{story['category']}, {story['outlet_count']} outlets*\n\n{_escaped(story.get('summary_en'))}\n\n{refs}")
+    if rest := [story for story in stories if not story.get("confidence")]:
+        out.append("## Also\n\n" + "\n".join(f"- {_escaped(story['title'])} ({story['outlet_count']})" for story in rest))
+    return "\n\n".join(out) + "\n"
+
+
+def html_page(edition: dict) -> str:
+    """The page of one edition: the same content, each story a card that search and category filters can use (K-9, P-14)."""
+    from html import escape
+
+    s, cards = edition["stats"], []
+    for story in edition["stories"]:
+        refs = "".join(f'<li><a href="{escape(r["url"] or "")}">{escape(r["source_name"] or "")}: {escape(r["title"] or "")}</a></li>' for r in story["references"])
+        cards.append(f'<article data-category="{escape(story["category"])}"><h2>{story["rank"]}. {escape(story["title"] or "")}</h2><p>{escape(story.get("summary_en") or "")}</p><ul>{refs}</ul></article>')
+    stats = f'{s["total_articles"]} articles, {s["outlets_reporting"]} outlets, {s["total_stories"]} stories, {s["major_stories"]} major'
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>{edition["date"]}</title></head><body><h1>{edition["date"]}</h1><p class="stats">{stats}</p>{"".join(cards)}</body></html>'
+
+
+def site_index(editions: list[tuple[str, str]]) -> str:
+    """The page that lists editions (date, stats line), newest first (K-9, T-14)."""
+    from html import escape
+
+    items = "".join(f'<li><a href="{escape(d)}.html">{escape(d)}</a> {escape(stats)}</li>' for d, stats in sorted(editions, reverse=True))
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>Editions</title></head><body><ul>{items}</ul></body></html>'

@@ -58,3 +58,15 @@ def edition_stats(articles: DataFrame, stories: DataFrame, major: int = 3) -> Da
     a = articles.agg(F.count("*").alias("total_articles"), F.countDistinct("source_id").alias("outlets_reporting"))
     s = stories.agg(F.count("*").alias("total_stories"), F.count_if(F.col("outlet_count") >= major).alias("major_stories"))
     return a.crossJoin(s)  # one row by one row
+
+
+def target_health(sources: DataFrame, targets: DataFrame, articles: DataFrame) -> DataFrame:
+    """(source_id, targets_ok, targets_total, articles, flag) of a collecting run: a target is ok if its fetch did not fail (A-11).
+
+    flag: OK with an article or a target that answered, OPT where an optional source has none, FAIL otherwise.
+    """
+    per = targets.groupBy("source_id").agg(F.count("*").alias("targets_total"), F.count_if(F.col("error").isNull()).alias("targets_ok"))
+    counts = articles.groupBy("source_id").agg(F.count("*").alias("articles"))
+    rows = sources.filter("is_enabled").select("source_id", "is_optional").join(per, "source_id", "left").join(counts, "source_id", "left").fillna(0, ["targets_total", "targets_ok", "articles"])
+    flag = F.when(F.col("targets_ok") > 0, "OK").when(F.col("is_optional"), "OPT").otherwise("FAIL")
+    return rows.select("source_id", "targets_ok", "targets_total", "articles", flag.alias("flag"))

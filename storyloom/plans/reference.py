@@ -9,6 +9,7 @@ from storyloom.functions import text as T
 from storyloom.functions import times as D
 from storyloom.functions import urls as U
 from storyloom.operators import clustering, digest, entities, ingest, memory, similarity, stories
+from storyloom.plans import edition
 from storyloom.plans.views import ARTICLES, DOCUMENTS, MEMBERS, RUN, RUN_SECONDS, articles, documents, members
 from storyloom.sources.tables import read_table as table
 from storyloom.vocab import words as V
@@ -714,3 +715,47 @@ def feed_sections(spark, d) -> DataFrame:
     both = f.union(f.select("source_id", F.col("ord") + 100, F.upper("section")))
     lists = both.filter("trim(section) <> ''").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section"))), lambda x: x["section"]).alias("all"))
     return lists.select("source_id", F.array_join(digest.distinct_ignoring_case(F.col("all")), ",").alias("sections"))
+
+
+# ---------------------------------------------------------------- a whole run
+
+_RUN_OPTIONS = edition.RunOptions(run=RUN, threading="graph", compatibility=False, fetch_bodies=False)
+# the run's articles under the names of the views, then its stories as members
+_RUN_ARTICLES = ARTICLES.replace("art as (", "art0 as (") + f""",
+once as (select * from art0 where source_id in (select source_id from sources where is_enabled) qualify row_number() over (partition by source_id, split_part(url, '?', 1) order by feed_ord nulls first, item_ord nulls first, article_id) = 1),
+newest as (select * from once qualify row_number() over (partition by source_id order by published desc nulls first, article_id) <= 120),
+art as (select * replace (date '2026-06-30' as edition) from newest where published is null or floor(epoch(published)) >= {RUN_SECONDS} - 26 * 3600)"""
+_RUN_MEMBERS = f"""{_RUN_ARTICLES}, {TOKENS}, pairs as (select a.article_id as src, b.article_id as dst from tok a join tok b on a.article_id < b.article_id where {_SCORE} >= 0.5 and len(list_intersect(a.dist, b.dist)) >= 2 and not {_VETO}), both_ways as (select src, dst from pairs union all select dst, src from pairs),
+walk as (select article_id, article_id as other from tok union select w.article_id, e.dst from walk w join both_ways e on e.src = w.other),
+lab as (select article_id, min(other) as story_id from walk group by article_id),
+mem as (select * from (select story_id, row_number() over (partition by story_id order by published desc nulls first, article_id) as ord, art.* from lab join art using (article_id)) qualify row_number() over (partition by story_id, url order by ord, article_id) = 1)"""
+_RUN_RANKS = f"{_SCORES}, {_category_sql()}, ranked as (select story_id, cast(row_number() over (order by score desc, outlet_count desc, story_id) as integer) as rank, cast(score as double) as score, outlet_count, category from scores join named using (story_id))"
+
+
+def _run_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    from storyloom.session import checkpoint
+
+    kept = checkpoint(edition.in_window(articles(spark, d), table(spark, d, "sources"), _RUN_OPTIONS))
+    return kept, edition.rank_stories(checkpoint(edition.build_stories(kept, _RUN_OPTIONS)), _RUN_OPTIONS)
+
+
+@query(f"with recursive {_RUN_MEMBERS}, {_RUN_RANKS} select * from ranked")
+def run_edition_stories(spark, d) -> DataFrame:
+    """The stories of one run: window, addresses, caps, threading, scores, categories, ranks."""
+    return _run_tables(spark, d)[1]
+
+
+@query(f"""with recursive {_RUN_MEMBERS}, {_RUN_RANKS} select (select count(*) from art) as total_articles, (select count(distinct source_id) from art) as outlets_reporting, count(*) as total_stories, count(*) filter (outlet_count >= 3) as major_stories,
+least(count(*), 28) as analysed_stories, {RUN_SECONDS - 26 * 3600}::bigint as window_start_s, {RUN_SECONDS}::bigint as window_end_s from ranked""")
+def run_edition_stats(spark, d) -> DataFrame:
+    return edition.run_stats(*_run_tables(spark, d), _RUN_OPTIONS)
+
+
+@query(f"with {MEMBERS} select story_id, article_id from mem qualify row_number() over (partition by story_id, url order by ord, article_id) = 1")
+def unique_story_members(spark, d) -> DataFrame:
+    return stories.unique_members(members(spark, d)).select("story_id", "article_id")
+
+
+@query(f"with {MEMBERS} select story_id, article_id, row_number() over (partition by story_id order by coalesce(tier, 2), source_name nulls first, title nulls first, article_id) as pos from mem")
+def reference_lists(spark, d) -> DataFrame:
+    return digest.reference_order(members(spark, d), "story_id").select("story_id", "article_id", "pos")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SOURCE = "source_id string, name_en string, name_ar string, homepage string, lang string, kind string, tier int, is_optional boolean, is_enabled boolean"
-_FEED = "source_id string, feed_ord int, url string, section string, is_enabled boolean"
+_FEED = "source_id string, feed_ord int, url string, section string, include string, exclude string, is_enabled boolean"
 _SETTINGS = {"window_hours": 26, "max_analyze": 28, "major_outlets": 3, "timezone": "UTC"}
 
 
@@ -24,8 +24,9 @@ def load_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, d
     for s in data.get("source", []):
         on = s.get("enabled", True)
         sources.append((s["id"], s.get("name_en", s["id"]), s.get("name_ar", s["id"]), s.get("homepage", ""), s.get("lang", "ar"), s.get("type", "rss"), s.get("tier", 2), s.get("optional", False), on))
-        for i, f in enumerate(s.get("feeds", [])):
-            if unknown := set(f) - {"url", "section"}:
+        # list pages of html sources come after the feeds
+        for i, f in enumerate([*s.get("feeds", []), *s.get("pages", [])]):
+            if unknown := set(f) - {"url", "section", "include", "exclude"}:
                 raise ValueError(f"unknown feed keys {sorted(unknown)}")
-            feeds.append((s["id"], i, f["url"], f.get("section", "general"), on))
+            feeds.append((s["id"], i, f["url"], f.get("section", "general"), f.get("include"), f.get("exclude"), on))
     return spark.createDataFrame(sources, _SOURCE), spark.createDataFrame(feeds, _FEED), settings

@@ -43,6 +43,30 @@ def test_charsets(declared):
     assert M.declared_charset(b'<?xml encoding="nonsense-9"?>') is None
 
 
+def test_blocks_and_noise():
+    long = "A paragraph that is long enough to be one of the first three of them, surely."
+    page = f"<nav><p>{long}</p></nav><figure><p>{long} fig</p></figure><p>{long}</p><li><p>inner wins over the item that holds it, and is long enough</p></li><p>Subscribe to the paper for more of all this, every single morning of it</p><h2>Too short</h2><button><p>{long} b</p></button><p>{long}</p>"
+    assert [t for t, _ in M.text_blocks(page)] == [long, "inner wins over the item that holds it, and is long enough", "Subscribe to the paper for more of all this, every single morning of it", "Too short", long]
+    assert M.article_body(page + "</nav></div>").split("\n\n") == [long, "inner wins over the item that holds it, and is long enough"]
+    farm = "<p>" + "<a href='/x'>link</a> " * 20 + "</p>"
+    assert M.article_body(farm) == "" and M.article_body(None) == ""
+    assert M.plain_text("<b>a</b><figure>x</figure><p>b</p>") == "a\nb"
+
+
+def test_entries_in_document_order():
+    feed = "<rss><item><guid>https://n.example/g</guid><link>https://n.example/l</link><title>" + "word " * 100 + "</title><created>2026-01-01</created><subtitle>sub</subtitle></item></rss>"
+    title, url, summary, published = M.feed_entries(feed)[0]
+    assert (url, summary, published) == ("https://n.example/g", "sub", "2026-01-01") and len(title) <= 401 and title.endswith("word…")
+
+
+def test_list_pages():
+    links = [("https://n.example/news/1?x=1", "A headline that is long enough"), ("https://n.example/news/1?x=2", "The same page, another query"), ("https://other.example/news/2", "Another host with a long title"), ("https://n.example/news/3", "short"), ("https://n.example/about", "Not shaped like an article at all"), ("https://n.example/news/4", "!!!!!!!!!!!!!!!!!!!!!!!!"), ("https://n.example/news/sport/5", "A sports headline, long enough")]
+    page = "https://n.example/"
+    assert [u for u, _ in M.scraped_links(links, page)] == ["https://n.example/news/1?x=1", "https://n.example/news/sport/5"]
+    assert [u for u, _ in M.scraped_links(links, page, include="sport")] == ["https://n.example/news/sport/5"]
+    assert [u for u, _ in M.scraped_links(links, page, exclude="SPORT")] == ["https://n.example/news/1?x=1"]
+
+
 def test_decompress_and_json():
     raw = b"hello"
     assert M.decompress(gzip.compress(raw), "gzip") == M.decompress(zlib.compress(raw), "deflate") == M.decompress(zlib.compress(raw)[2:-4], "deflate") == M.decompress(raw, "gzip") == raw
@@ -57,6 +81,10 @@ def test_feed_source_and_retries(spark, tmp_path):
     got = {r["source_id"]: r for r in rows.collect()}
     assert got["b"]["error"] and got["b"]["payload"] is None
     assert [r["title"] for r in feeds.entries(rows).collect()] == ["A title here"]
+    assert feeds.fetch_json("u", get=lambda u, **k: feeds.Reply(b'{"a": 1}')) == {"a": 1}
+    assert feeds.Reply("é".encode("cp1252"), "", "windows-1252").text() == feeds.Reply(gzip.compress("é".encode()), "gzip").text() == "é"
+    with pytest.raises(feeds.FetchError):
+        feeds.fetch_json("u", {"q": 1}, get=lambda u, data, headers: feeds.Reply(b"<html>"))
     calls, waits = [], []
 
     def get(url):
