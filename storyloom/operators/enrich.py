@@ -11,6 +11,9 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from storyloom.functions.markup import json_object
 
 Answer = Callable[[str, str], str]  # (provider, prompt) -> text
@@ -102,6 +105,23 @@ def story_prompt(batch: list[dict], body_chars: int = 3200, keep: float = 1.0) -
     return "Answer with one JSON object {\"stories\": [{\"id\": ..., \"summary_en\": ...}]}.\n\n" + "\n\n".join(parts)
 
 
+def candidates(wanted: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(provider, model) pairs to try, each once, in their first order (D-9)."""
+    return list(dict.fromkeys(wanted))
+
+
+def link_context(graph: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entity graph and the links of each edition as text for a prompt (M-8): (edition, entities) and (edition, links).
+
+    graph: (edition, entity, story_ids, n) of entity_graph; links: (edition, type, src, dst, evidence). An edition's lists only
+    are gathered: its most frequent entities first, its links by their ends.
+    """
+    names = F.struct((-F.col("n")).alias("k"), "entity", F.concat("entity", F.lit(": "), "story_ids").alias("line"))
+    ends = F.struct("src", "dst", "type", F.concat_ws(" ", F.concat_ws(">", "src", "dst"), F.concat(F.lit("("), "type", F.lit(")")), "evidence").alias("line"))
+    text = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["line"]), "\n")
+    return graph.groupBy("edition").agg(text(names).alias("entities")), links.groupBy("edition").agg(text(ends).alias("links"))
+
+
 @dataclass
 class Engine:
     """Batches of stories through a chain of providers; a failing batch is halved, what stays open is left to the fallback."""
@@ -159,3 +179,19 @@ class Engine:
                 done |= self._batch(open_[i : i + self.batch_size], max(0.35, 0.75**n))
         self.counts["missing"] = sum(s["sid"] not in done for s in stories)
         return done
+
+    def synthesise(self, stories: list[dict], context: str = "", fallback: Callable[[], dict] = dict, fewer: int = 12) -> dict:
+        """The note of an edition from its stories and what earlier editions said: asked once for all of them, once for the first
+        `fewer`, and left to the fallback (M-6). An answer counts if it is an object with a note or themes."""
+        import json
+
+        for part in dict.fromkeys((len(stories), min(fewer, len(stories)))):
+            if not part or (self.deadline and self.deadline.expired()):
+                break
+            asked = "Answer with one JSON object {\"editor_note_en\": ..., \"top_themes\": [...]}.\n\n" + (f"Before:\n{context}\n\n" if context else "")
+            found = json_object(self._complete(asked + "\n\n".join(f"[{s['sid']}] {s.get('title') or ''}" for s in stories[:part])))
+            value = json.loads(found) if found else {}
+            if value.get("editor_note_en") or value.get("top_themes"):
+                return {**value, "_source": "model", "_stories": part}
+        self.counts["errors"] += bool(stories)
+        return {**fallback(), "_source": "extractive"}

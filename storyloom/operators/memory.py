@@ -84,6 +84,11 @@ def _hadoop(spark: SparkSession, path: str):
     return fs.Path, fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop(spark, path)
+    fs.delete(at(path), True)
+
+
 def load_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records with a date from JSON lines; corrupt lines are left out, a missing file is empty (S-15)."""
     at, fs = _hadoop(spark, path)

@@ -639,7 +639,7 @@ def html_texts(spark, d) -> DataFrame:
     return _pages(spark, d).select("article_id", html_to_text("html").alias("text"))
 
 
-@query()
+@query(rf"with {ARTICLES}, t as (select article_id, url, trim(regexp_replace(title, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'), ' ') as text from art where title <> '') select * from t where regexp_matches(url, '{U.ARTICLE_URL}') and length(text) >= 18")
 def html_links(spark, d) -> DataFrame:
     from storyloom.functions.markup import html_links as links
 
@@ -665,7 +665,7 @@ def feed_entries(spark, d) -> DataFrame:
     return feeds.select("article_id", F.explode(parse_feed("xml", "url")).alias("e")).select("article_id", "e.title", "e.url", "e.published")
 
 
-@query()
+@query("""select event_id, '{"k": ' || json_extract_string(props, '$.k') || '}' as json from events""")
 def json_recovered(spark, d) -> DataFrame:
     from storyloom.functions.markup import recover_json
 
@@ -676,20 +676,39 @@ def json_recovered(spark, d) -> DataFrame:
 @query("select event_type, user_id, count(*) as n from (select distinct event_type, user_id, value from events) group by all")
 def stream_dedup(spark, d) -> DataFrame:
     """Events as a stream: the first of each (type, user, value) within the watermark, counted; the table spans less than the delay."""
-    import tempfile
     import uuid
 
-    from storyloom.session import ensure_checkpoint_dir
+    from storyloom.operators.memory import remove_folder
+    from storyloom.session import checkpoint, shared_folder
     from storyloom.streaming import ingest as S
 
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    timed, _ = S.with_event_time(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "4000 days")
+    timed, _ = S.with_event_time(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "40 days")
     S.run_available(S.first_within_watermark(timed, ["event_type", "user_id", "value"]), f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    counts = checkpoint(spark.read.parquet(f"{out}/data").groupBy("event_type", "user_id").agg(F.count("*").alias("n")))
+    remove_folder(spark, out)
+    return counts
+
+
+@query(f"with {MEMBERS}, {_MENTIONS}, g as (select edition, entity, string_agg(sid, ',' order by sid) as ids, count(*) as n from mentions group by edition, entity having count(*) >= 2) select edition, string_agg(entity || ': ' || ids, chr(10) order by -n, entity) as entities from g group by edition")
+def entity_context(spark, d) -> DataFrame:
+    """The entity graph of each edition as text for a prompt."""
+    from storyloom.operators.enrich import link_context
+
+    none = spark.createDataFrame([], "edition date, type string, src string, dst string, evidence string")
+    return link_context(entities.entity_graph(_mentions(spark, d)), none)[0]
+
+
+@query(f"with {_LINKS}, e as (select 'S' || story_id as src, edition from stories) select edition, string_agg(src || '>' || dst || ' (' || type || ') ' || evidence, chr(10) order by src, dst, type) as links from valid join e using (src) group by edition")
+def link_context(spark, d) -> DataFrame:
+    """The links of each edition as text for a prompt."""
+    from storyloom.operators import enrich
+
+    editions = table(spark, d, "stories").select(F.concat(F.lit("S"), "story_id").alias("src"), "edition")
+    none = spark.createDataFrame([], "edition date, entity string, story_ids string, n bigint")
+    return enrich.link_context(none, entities.valid_links(*_links(spark, d)).join(editions, "src"))[1]
 
 
 # ---------------------------------------------------------------- times and lists

@@ -1,10 +1,12 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
 from storyloom.operators import entities, ingest, memory
-from storyloom.operators.enrich import Breaker, Deadline, Engine, Pacer, retry_after
+from storyloom.operators.enrich import Breaker, Deadline, Engine, Pacer, candidates, retry_after
 from storyloom.sources import sinks
+from storyloom.streaming import ingest as S
 
 
 def test_upsert_is_idempotent_and_bounded(spark):
@@ -117,3 +119,30 @@ def test_sinks_change_once(spark, tmp_path):
     (tmp_path / "2026-01-02.html").write_text('<p class="stats">3 <b>stories</b></p>')
     (tmp_path / "draft.html").write_text("x")
     assert [tuple(r)[1:] for r in sinks.find_editions(spark, str(tmp_path)).collect()] == [("2026-01-02.html", "3 stories")]
+
+
+def test_synthesis_is_asked_again_for_fewer_stories():
+    asked = []
+
+    def answer(provider, prompt):
+        asked.append(prompt.count("[S"))
+        return "{}" if len(asked) == 1 else '{"editor_note_en": "note"}'
+
+    stories_ = [{"sid": f"S{i}", "title": "t"} for i in range(20)]
+    assert Engine(answer, ["p"]).synthesise(stories_, "before")["_stories"] == 12 and asked == [20, 12]
+    assert Engine(lambda p, q: "no", ["p"]).synthesise(stories_, fallback=lambda: {"n": 1}) == {"n": 1, "_source": "extractive"}
+    assert Engine(lambda p, q: "no", ["p"]).synthesise([])["_source"] == "extractive"
+    assert candidates([("a", "x"), ("b", "y"), ("a", "x")]) == [("a", "x"), ("b", "y")]
+
+
+def test_keyed_store_with_a_time_to_live(spark, tmp_path):
+    schema = "key string, payload string, at timestamp"
+    day = lambda n: dt.datetime(2026, 1, n)
+    parts = [("a", "one", day(1)), ("b", None, day(1))], [("a", None, day(2)), ("b", None, day(2)), ("c", "", day(2))], [("a", None, day(9))]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = S.cached_answers(S.stream_table(spark, str(tmp_path / "in"), schema, 10), 3 * 86400)
+        S.run_available(stream, str(tmp_path / "out" / str(i)), str(tmp_path / "checkpoint"))
+    read = lambda i: {r["key"]: (r["payload"], r["is_hit"]) for r in spark.read.parquet(str(tmp_path / "out" / str(i))).collect()}
+    assert read(1) == {"a": ("one", True), "b": (None, False), "c": (None, False)}
+    assert read(2) == {"a": (None, False)}
