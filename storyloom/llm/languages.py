@@ -91,20 +91,21 @@ def make_classifier(samples: list[tuple[str, str]]) -> tuple[list[str], Callable
     grams = make_grams()
     languages = sorted({lang for lang, _ in samples})
     size, mask = 1 << SLOT_BITS, np.uint64((1 << SLOT_BITS) - 1)
-    table = np.zeros(size, dtype=np.uint64)
+    # 64 languages to a word
+    tables = [np.zeros(size, dtype=np.uint64) for _ in range(0, len(languages), 64)]
     for bit, lang in enumerate(languages):
         _, h, _ = grams([" ".join(text.split("\n")) for x, text in samples if x == lang])
         for slot in (h & mask, (h >> np.uint64(SLOT_BITS)) & mask):
-            table[slot] |= np.uint64(1 << bit)
-    false = [float(((table >> np.uint64(bit)) & np.uint64(1)).mean()) ** 2 for bit in range(len(languages))]
+            tables[bit // 64][slot] |= np.uint64(1 << bit % 64)
+    false = [float(((tables[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).mean()) ** 2 for bit in range(len(languages))]
 
     def classify(texts: list[str]):
         row, h, beyond = grams(texts)
-        found = table[h & mask] & table[(h >> np.uint64(SLOT_BITS)) & mask]
+        found = [table[h & mask] & table[(h >> np.uint64(SLOT_BITS)) & mask] for table in tables]
         n = np.bincount(row, minlength=len(texts)).astype(float)
         hits = np.zeros((len(languages), len(texts)))
         for bit in range(len(languages)):
-            seen = np.bincount(row[(found >> np.uint64(bit)) & np.uint64(1) == 1], minlength=len(texts))
+            seen = np.bincount(row[(found[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1], minlength=len(texts))
             hits[bit] = np.maximum(0, seen - n * false[bit]) / (1 - false[bit])
         return n, hits, beyond > 0.5
 

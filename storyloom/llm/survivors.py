@@ -61,9 +61,16 @@ def survivors_found(members: DataFrame, articles: DataFrame, sources: DataFrame)
 
 
 def survivor_records(members: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """The surviving record of each story: title, url and tier of `record`, the best body and the best instant."""
+    """The surviving record of each story: source, title, url and tier of `record`, the best body and the best instant.
+
+    Winners are known before any body moves, and bodies are shuffled once, without the other columns. Of repeated rows of a winning
+    article the longest body and the greatest record stay, whatever the order of rows.
+    """
     wide = survivors(members, articles, sources)
-    part = articles.dropDuplicates(["article_id"])
-    whole = part.select(F.col("article_id").alias("record"), "source_id", "title", "url", "tier")
-    body = part.select(F.col("article_id").alias("body"), F.col("body").alias("body_text"))
-    return wide.join(whole, "record").join(body, "body", "left").select("story_id", "record", "source_id", "title", "url", "tier", "body_text", "utc_s")
+    fields = ("source_id", "title", "url", "tier")
+    records = articles.select(F.col("article_id").alias("record"), F.struct(*fields).alias("row")).join(wide.select("record").distinct(), "record", "left_semi")
+    records = records.groupBy("record").agg(F.max("row").alias("row"))
+    bodies = articles.filter("body is not null").select(F.col("article_id").alias("body"), F.col("body").alias("body_text")).join(wide.filter("body is not null").select("body").distinct(), "body", "left_semi")
+    bodies = bodies.groupBy("body").agg(F.max_by("body_text", F.struct(trimmed_length(F.col("body_text")), "body_text")).alias("body_text"))
+    joined = wide.join(records, "record").join(bodies, "body", "left")
+    return joined.select("story_id", "record", *[F.col(f"row.{c}").alias(c) for c in fields], "body_text", "utc_s")

@@ -222,8 +222,9 @@ def judged_values(articles: DataFrame) -> DataFrame:
     """
     shaped = _shape(articles)
     doubtful = shaped.filter(F.col("kind").isin("open", "dots", "broken"))
+    # values of one word have no pair; the hash of their id, which no pair has, spreads them over the join
     bare = F.regexp_replace("text", r"(\[?\(?(…|\.{2,})\]?\)?|&#?\w*|<[^<>]*|\x{fffd}+)\s*$", "")
-    rows = doubtful.select("article_id", "source_id", "kind", "chars", "bytes", _is_title().alias("is_title"), F.col("text").rlike("[,،;؛:(–—-]$").alias("goes_on_mark"), _last_two(_words(bare)).alias("pair"), "text", "body")
+    rows = doubtful.select("article_id", "source_id", "kind", "chars", "bytes", _is_title().alias("is_title"), F.col("text").rlike("[,،;؛:(–—-]$").alias("goes_on_mark"), F.coalesce(_last_two(_words(bare)), F.xxhash64("article_id")).alias("pair"), "text", "body")
     schema = "article_id bigint, source_id string, kind string, chars int, bytes int, is_title boolean, goes_on_mark boolean, pair bigint, goes_on string"
     rows = rows.mapInPandas(_judge(), schema)
     spikes = length_spikes(articles).filter("kind <> 'mark'").groupBy(F.col("source_id").alias("__s"), F.col("kind").alias("__k")).agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("spikes"))

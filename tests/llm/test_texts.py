@@ -76,6 +76,17 @@ def test_languages_of_held_out_samples(pairs):
     assert right >= 0.97 * (len(mixed) - cut) and (n > 0).all()
 
 
+def test_more_languages_than_bits_of_a_word(pairs):
+    import string
+
+    odd = [(f"x{i:03d}", " ".join(string.ascii_lowercase[(i * 7 + k) % 26] * 3 + string.ascii_lowercase[(i + k * 3) % 26] + str(i % 10) for k in range(40))) for i in range(70)]
+    languages, classify = G.make_classifier([*odd, *[p for p in pairs if p[0] == "fr"], *[("zz", t) for x, t in pairs if x == "de"]])
+    assert len(languages) == 72
+    _, hits, _ = classify([t for x, t in pairs if x in ("de", "fr")])
+    want = ["zz" if x == "de" else x for x, _ in pairs if x in ("de", "fr")]
+    assert [languages[k] for k in hits.argmax(axis=0)] == want
+
+
 def test_languages_of_articles(spark, samples, pairs):
     by = {}
     for lang, text in pairs:
