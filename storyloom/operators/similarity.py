@@ -19,16 +19,17 @@ from storyloom.vocab.words import Lexicon
 
 
 def tokenised(articles: DataFrame, lexicon: Lexicon | None = None, compatibility: bool = False) -> DataFrame:
-    """(edition, article_id, lang, toks, dist): articles with at least one canonical token of their title."""
+    """(edition, article_id, lang, toks, dist): canonical and distinctive tokens of the titles. Rows without tokens are left to the
+    consumers: a filter here would be pushed below the projection and make every title be read twice."""
     lexicon = lexicon or Lexicon()
     rows = articles.select("edition", "article_id", "lang", F.array_sort(canonical_tokens(F.col("title"), lexicon, compatibility)).alias("toks"))
-    return rows.filter(F.size("toks") > 0).withColumn("dist", distinctive(F.col("toks"), lexicon.generic))
+    return rows.withColumn("dist", distinctive(F.col("toks"), lexicon.generic))
 
 
 def headline_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, membership): classes (edition, class_id, lang, n, toks, dist) are the distinct token sets of an edition and language, named
-    by their smallest article_id; membership (edition, article_id, class_id). Titles are tokenised once, for both."""
-    kept = checkpoint(rows)
+    by their smallest article_id; membership (edition, article_id, class_id). Titles without tokens have no class. Titles are tokenised once, for both."""
+    kept = checkpoint(rows).filter(F.size("toks") > 0)
     classes = kept.groupBy("edition", "lang", "toks").agg(F.min("article_id").alias("class_id"), F.count("*").alias("n"), F.first("dist").alias("dist"))
     classes = checkpoint(classes.select("edition", "class_id", "lang", "n", "toks", "dist"))
     keys = classes.select(F.col("edition").alias("__e"), F.col("lang").alias("__l"), F.col("toks").alias("__t"), "class_id")
