@@ -4,7 +4,7 @@ Three steps for each value: compatibility normalisation of presentation forms (t
 deletion of ignorable characters and plain spaces, canonical composition; then a Viterbi search over the
 look-alike lattice of each token that mixes alphabets, and of each Arabic-script token, whose look-alikes are
 the letters and digits of Arabic and Persian. A path stays in one alphabet; its score is that of a character
-bigram model of the alphabet's language, learnt from the labelled samples (a table of a few hundred rows).
+bigram model of the alphabet's language, counted over all labelled samples by Spark.
 A value is a case where its form changes.
 """
 
@@ -14,13 +14,13 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled samples are fitted on, the smallest sample_ids of each language.
+#: labelled_samples() gives at most so many of each language, the smallest sample_ids.
 MAX_SAMPLES = 2000
 
 #: Letters of other alphabets and the Latin letters they look like, in the order of the first string.
@@ -62,17 +62,13 @@ def _script(ch: str) -> str:
 
 
 class Bigrams:
-    """Character bigram model with add-k smoothing."""
+    """Character bigram model with add-k smoothing, of pairs of characters and how often they stand in words (blanks at both ends)."""
 
-    def __init__(self, texts: list[str], k: float = 0.05) -> None:
-        pairs, firsts, letters = Counter(), Counter(), set()
-        for text in texts:
-            for word in re.findall(r"[^\W_\d]+", text):
-                chars = f" {word} "
-                letters.update(chars)
-                pairs.update(zip(chars, chars[1:]))
-                firsts.update(chars[:-1])
-        self.k, self.n, self.pairs, self.firsts = k, len(letters) + 50, dict(pairs), dict(firsts)
+    def __init__(self, pairs: dict[tuple[str, str], int], k: float = 0.05) -> None:
+        firsts: Counter = Counter()
+        for (a, _), n in pairs.items():
+            firsts[a] += n
+        self.k, self.n, self.pairs, self.firsts = k, len({ch for pair in pairs for ch in pair}) + 50, dict(pairs), dict(firsts)
 
     def score(self, a: str, b: str) -> float:
         return math.log((self.pairs.get((a, b), 0) + self.k) / (self.firsts.get(a, 0) + self.k * self.n))
@@ -82,16 +78,31 @@ class Bigrams:
         return sum(map(self.score, chars, chars[1:]))
 
 
-def fit_models(samples: list[tuple[str, str]]) -> dict[str, Bigrams]:
-    """Bigram models by language code from (language, text); Arabic and Persian also by the shared letter forms."""
+def model_pairs(samples: Iterable[tuple[str, str]]) -> Counter:
+    """How often each (model, character, next character) stands in the words of (language, text); the models are named by
+    language code, Arabic and Persian have one of the shared letter forms, too."""
     fold = str.maketrans("يىك", "ییک")
-    by: dict[str, list[str]] = {}
+    pairs: Counter = Counter()
     for lang, text in samples:
-        by.setdefault(lang, []).append(unicodedata.normalize("NFC", text))
-    models = {lang: Bigrams([x.lower() for x in texts]) for lang, texts in by.items()}
-    for lang in ("ar", "fa"):
-        models[f"{lang}~"] = Bigrams([t.translate(fold) for t in by.get(lang, [])])
-    return models
+        text = unicodedata.normalize("NFC", text)
+        for name, form in ((lang, text.lower()), *([(f"{lang}~", text.translate(fold))] if lang in ("ar", "fa") else [])):
+            for word in re.findall(r"[^\W_\d]+", form):
+                chars = f" {word} "
+                pairs.update((name, a, b) for a, b in zip(chars, chars[1:]))
+    return pairs
+
+
+def models_of(counts: Iterable[tuple[str, str, str, int]]) -> dict[str, Bigrams]:
+    """Bigram models by name from counts (model, character, next character, n)."""
+    by: dict[str, dict[tuple[str, str], int]] = {"ar~": {}, "fa~": {}}
+    for name, a, b, n in counts:
+        by.setdefault(name, {})[a, b] = n
+    return {name: Bigrams(pairs) for name, pairs in by.items()}
+
+
+def fit_models(samples: list[tuple[str, str]]) -> dict[str, Bigrams]:
+    """models_of() the samples' pairs."""
+    return models_of((*key, n) for key, n in model_pairs(samples).items())
 
 
 def viterbi(options: list[list[tuple[str, str]]], models: dict[str, list[Bigrams]], cost: Callable[[int, str], float]) -> str | None:
@@ -140,7 +151,7 @@ def make_normaliser(models: dict[str, Bigrams]) -> Callable[[str], str]:
     for other, latin in latin_of.items():
         others_of.setdefault(latin, []).append(other)
     # a model scores paths in the alphabet that most of its letters are of; an alphabet without any is flat
-    flat = Bigrams([])
+    flat = Bigrams({})
     by_alphabet: dict[str, list[Bigrams]] = {}
     for x in sorted(models):
         kinds = Counter()
@@ -230,7 +241,7 @@ _WORDS = re.compile(r"[^\W_\d]+").findall
 
 def _apply(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        normalise = make_normaliser(fit_models(shared.value))
+        normalise = make_normaliser(models_of(shared.value))
         for batch in batches:
             texts = [normalise(v) for v in batch["value"]]
             yield pd.DataFrame({"article_id": batch["article_id"], "field": batch["field"], "value": batch["value"], "text": texts, "is_mixed": [mixes_alphabets(t) for t in texts]})
@@ -247,18 +258,34 @@ def labelled_samples(samples: DataFrame, most: int = MAX_SAMPLES) -> list[tuple[
     return [(r["lang"], r["text"]) for r in rows.select("lang", "text").sort("lang", "text").collect()]
 
 
+def pair_counts(samples: DataFrame, count: Callable[[Iterable[tuple[str, str]]], Counter]) -> list[tuple[str, str, str, int]]:
+    """(model, character, next character, n) over all labelled samples, sorted; count: of the (language, text) of a batch.
+
+    The samples are counted where they are; the pairs of the alphabets reach the driver, never the texts.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = count(zip(batch["lang"], batch["text"]))
+            yield pd.DataFrame([(*key, n) for key, n in found.items()], columns=["model", "a", "b", "n"])
+
+    rows = samples.filter("lang is not null and text is not null").select("lang", "text")
+    counts = rows.mapInPandas(run, "model string, a string, b string, n bigint").groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
+    return sorted(tuple(r) for r in counts.collect())
+
+
 def consistent_forms(articles: DataFrame, samples: DataFrame) -> DataFrame:
     """(article_id, field, value, text, is_mixed): each title and summary with a character beyond ASCII, and its consistent form;
     is_mixed: a word mixes alphabets and could not be brought to one.
 
     Null and empty values and values of ASCII only are their own form and have no row. Repeated rows give repeated
     rows; extra columns are not read; without samples the models are flat and Arabic counts as Arabic; an empty
-    table gives an empty result. No shuffle; the samples are bounded by MAX_SAMPLES for each language.
+    table gives an empty result. No article is shuffled; the models are counted over all samples, and broadcast.
     """
     spark = articles.sparkSession
     long = articles.select("article_id", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("summary")), F.array("title", "summary"))).alias("field", "value"))
     rows = long.filter(F.col("article_id").isNotNull() & F.col("value").rlike("[^\\x00-\\x7F]"))
-    shared = spark.sparkContext.broadcast(labelled_samples(samples))
+    shared = spark.sparkContext.broadcast(pair_counts(samples, model_pairs))
     return rows.mapInPandas(_apply(shared), "article_id bigint, field string, value string, text string, is_mixed boolean")
 
 

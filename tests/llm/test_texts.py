@@ -53,6 +53,16 @@ def test_alphabets_have_their_own_models(pairs):
     assert normalise("گفت که قيمت‌ها از بهار پایین آمده اسك") == "گفت که قیمت‌ها از بهار پایین آمده اسک"
 
 
+def test_models_are_counted_over_all_samples(spark, pairs):
+    """What stands only in the samples after the first thousands of a language counts, too."""
+    russian = "мост через реку открыт вечером в понедельник|совет сказал что город построит новый порт|рыбаки вернулись домой".split("|") * 30
+    rows = [(None, "fr", None), *[(i, "ru", "ж") for i in range(2 * K.MAX_SAMPLES)], *[(10_000 + i, "ru", x) for i, x in enumerate(russian)], *[(20_000 + i, lang, x) for i, (lang, x) in enumerate(pairs)]]
+    samples = spark.createDataFrame(rows, "sample_id bigint, lang string, text string").repartition(5)
+    articles = spark.createDataFrame([(1, "мoст", "wаtеr роwеr"), (2, "пopт", "сoвет")], "article_id bigint, title string, summary string")
+    got = {(r["article_id"], r["field"]): r["text"] for r in K.consistent_forms(articles, samples).collect()}
+    assert got == {(1, "title"): "мост", (1, "summary"): "water power", (2, "title"): "порт", (2, "summary"): "совет"}
+
+
 def test_words_without_a_path_are_reported():
     assert K.mixes_alphabets("a wordж here") and not K.mixes_alphabets("слово and word") and not K.mixes_alphabets("25 µm") and not K.mixes_alphabets("日本語text")
 
