@@ -3,7 +3,7 @@
 A code-page swap is treated as a substitution cipher. Its symbols are the characters of a garbled word, or the runs
 of two to four characters that one UTF-8 letter became; its plain text is what the languages' bigrams expect.
 
-1. Suspicious words: every word's character pairs are scored with the bigrams of the labelled samples, whole batches
+1. Suspicious words: every word's character pairs are scored with the bigrams of all labelled samples, whole batches
    at once as arrays of code points. A word with a pair of unlike characters, or with unlikely pairs throughout, is
    suspicious; neighbouring suspicious words form a run. Only runs go on, texts are read once and not shuffled.
 2. Per source, the symbols' neighbours in suspicious words are counted over all documents (a distributed aggregation
@@ -23,14 +23,14 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.lookalikes import labelled_samples
+from storyloom.llm.lookalikes import pair_counts
 from storyloom.session import checkpoint
 
 #: Known swaps, a prior of the ciphers: code pages that UTF-8 is misread in, and (true, read) pairs of single-byte pages.
@@ -120,17 +120,36 @@ def folded(ch: str) -> str:
     return "0" if ch.isdigit() else low if len(low) == 1 else ch
 
 
+def model_pairs(samples: Iterable[tuple[str, str]]) -> Counter:
+    """How often each (model, character, next character) stands in the texts of (language, text); one model, named "", for all
+    languages. The blank that ends each text is counted with an empty next character."""
+    pairs: Counter = Counter()
+    for _, text in samples:
+        chars = " " + "".join(map(folded, re.sub(r"\s", " ", text))) + " "
+        pairs.update(("", a, b) for a, b in zip(chars, chars[1:]))
+        pairs["", " ", ""] += 1
+    return pairs
+
+
 class Model:
     """Character bigrams of the labelled samples; pairs of unlike scripts are far less likely than unseen ones."""
 
     rare, odd = -9.0, -12.0
 
     def __init__(self, texts: list[str]) -> None:
-        pairs, firsts = Counter(), Counter()
-        for text in texts:
-            chars = " " + "".join(map(folded, re.sub(r"\s", " ", text))) + " "
-            pairs.update(zip(chars, chars[1:]))
-            firsts.update(chars)
+        self._fit(sorted((*key, n) for key, n in model_pairs(("", text) for text in texts).items()))
+
+    @classmethod
+    def of(cls, counts: list[tuple[str, str, str, int]]) -> Model:
+        """The model of counts by model_pairs."""
+        model = cls.__new__(cls)
+        model._fit(counts)
+        return model
+
+    def _fit(self, counts: list[tuple[str, str, str, int]]) -> None:
+        pairs, firsts = {(a, b): n for _, a, b, n in counts if b}, Counter()
+        for _, a, _, n in counts:
+            firsts[a] += n
         self.count = firsts
         self.known = frozenset(firsts)
         self.value = {p: max(self.rare, math.log(n / firsts[p[0]])) for p, n in pairs.items()}
@@ -581,7 +600,7 @@ def make_restorer(model: Model, swaps: list[Swap]) -> Callable[[str, dict[str, d
 
 def _find_runs(shared, with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        suspects = make_suspects(Model([t for _, t in shared.value]))
+        suspects = make_suspects(Model.of(shared.value))
         for whole in batches:
             texts = whole["text"].tolist()
             start = 0
@@ -617,7 +636,7 @@ def _learnt(runs: DataFrame, shared) -> DataFrame:
     counts = runs.select("source", "runs").mapInPandas(_count_symbols(), "source string, a string, b string, n bigint").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = learn_ciphers(list(zip(pdf["a"], pdf["b"], pdf["n"].astype(int))), Model([t for _, t in shared.value]), all_swaps())
+        found = learn_ciphers(list(zip(pdf["a"], pdf["b"], pdf["n"].astype(int))), Model.of(shared.value), all_swaps())
         tables = {name: {s: [letter, round(p, 4)] for s, (letter, p) in table.items()} for name, table in found.items() if table}
         return pd.DataFrame([(key[0], json.dumps(tables, ensure_ascii=False, sort_keys=True))], columns=["source", "mapping"])
 
@@ -626,13 +645,13 @@ def _learnt(runs: DataFrame, shared) -> DataFrame:
 
 def learnt_mappings(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(source, mapping): per source a JSON object from cipher to symbol to [letter, probability], as learnt by EM."""
-    shared = documents.sparkSession.sparkContext.broadcast(labelled_samples(samples))
+    shared = documents.sparkSession.sparkContext.broadcast(pair_counts(samples, model_pairs))
     return _learnt(_suspicious(documents, shared, False), shared)
 
 
 def _restore(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = make_restorer(Model([t for _, t in shared.value]), all_swaps())
+        restore = make_restorer(Model.of(shared.value), all_swaps())
         read: dict[str, dict] = {}
         for batch in batches:
             rows = []
@@ -654,7 +673,7 @@ def _restore(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
 
 
 def _restored(documents: DataFrame, samples: DataFrame, with_text: bool) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(labelled_samples(samples))
+    shared = documents.sparkSession.sparkContext.broadcast(pair_counts(samples, model_pairs))
     runs = _suspicious(documents, shared, with_text)
     rows = runs.join(_learnt(runs, shared), "source", "left").select("doc_id", "text", "runs", "mapping")
     return rows.mapInPandas(_restore(shared), "doc_id bigint, restored string, runs int, gain double, is_lossy boolean")

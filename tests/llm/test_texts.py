@@ -137,6 +137,21 @@ def test_mojibake_is_found_and_restored(spark, samples, pairs):
     assert M.mojibake_found(frame.limit(0), samples).count() == 0
 
 
+def test_bigrams_are_counted_over_all_samples(spark, pairs):
+    """Letters that stand only in the samples after the first thousands of a language are known, too."""
+    fill = [(i, "fr", "la rue") for i in range(2 * K.MAX_SAMPLES)]
+    rows = [(None, "fr", None), *fill, *[(10_000 + i, lang, x) for i, (lang, x) in enumerate(pairs)]]
+    samples = spark.createDataFrame(rows, "sample_id bigint, lang string, text string").repartition(5)
+    texts = [t for x, t in pairs if x == "fr" and "é" in t][:20]
+    documents = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)] + [(100 + i, "s", _garble(t, "utf-8", "latin-1")) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    assert {r["doc_id"]: r["restored"] for r in M.restored_texts(documents, samples).collect()} == {100 + i: t for i, t in enumerate(texts)}
+
+
+def test_a_model_of_counts_is_that_of_the_texts(spark, samples, pairs):
+    model, counted = M.Model([t for _, t in pairs]), M.Model.of(K.pair_counts(samples, M.model_pairs))
+    assert (model.count, model.value, model.known, model.usual) == (counted.count, counted.value, counted.known, counted.usual)
+
+
 def test_mojibake_of_characters_that_are_harmless_alone(spark, samples, pairs):
     words = ["the Vilã and São Qelmo streets", "voilà, là-bas", "the Île-d’Août fair", "DÉJÀ VU, À PARIS", "Österreich und Ägypten, Übung", "the «old» bridge"]
     bad = [_garble(w, "utf-8", "cp1256") for w in words] + ["the Vil&#1571;&pound; streets", "the Vilأ&pound; streets"]
